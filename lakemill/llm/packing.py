@@ -23,17 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .batches import text_slices
 from .store import Workspace, power_of_two
 
 CAPACITY = 1024
-#: Bytes of text tokenised at a time.
-SLICE_BYTES = 4 << 20
 #: Pieces of one cell, at the most likely.
 CELL_PIECES = 50_000
 
@@ -44,17 +42,6 @@ PIECES = T.StructType(
 PIECES_IDS = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType(), False)])
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches of about `most` bytes of text; one longer text is a batch of its own."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _cut(ranks_path: str, pattern: str, closing: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, neardup, packing, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_pack_documents": packing.op1_pack_documents,
+        "op4_remove_repeats": substrings.op4_remove_repeats,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op9_near_duplicates": neardup.op9_near_duplicates,
     }
 
 
