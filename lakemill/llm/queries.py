@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, substrings
+from . import chat, language, mixing, neardup, packing, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,11 @@ def queries() -> dict[str, Query]:
         "op1_pack_documents": packing.op1_pack_documents,
         "op4_remove_repeats": substrings.op4_remove_repeats,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_identify_language": language.op7_identify_language,
+        "op8_format_chats": chat.op8_format_chats,
         "op9_near_duplicates": neardup.op9_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.OP6_SQL}
+    return {"op6_mix_sources": mixing.OP6_SQL, "op8_format_chats": chat.OP8_SQL}
