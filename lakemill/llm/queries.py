@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, mixing, neardup, packing, substrings
+from . import ann, chat, language, mixing, neardup, packing, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op10_nearest_neighbours": ann.op10_nearest_neighbours,
         "op1_pack_documents": packing.op1_pack_documents,
+        "op3_score_toxicity": toxicity.op3_score_toxicity,
         "op4_remove_repeats": substrings.op4_remove_repeats,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_identify_language": language.op7_identify_language,

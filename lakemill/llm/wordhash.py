@@ -62,11 +62,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch of texts: byte spans, hashes, and the first word of each text."""
+    """Words of a batch of texts: byte spans, hashes, and the first word of each text.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    With letters, words are runs of ASCII letters and bytes beyond ASCII
+    instead, and Latin-1 capitals are lowered too.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False):
         n = len(raw)
-        mark = (raw > 32) | ((raw < 9) | ((raw > 13) & (raw < 32)))
+        if letters:
+            low = raw | np.uint8(32)
+            mark = ((low >= 97) & (low <= 122)) | (raw >= 128)
+        else:
+            mark = (raw > 32) | ((raw < 9) | ((raw > 13) & (raw < 32)))
         before = np.empty(n + 1, bool)
         before[0] = False
         before[1:] = mark
@@ -78,8 +86,12 @@ class Words:
         self.end = np.flatnonzero(mark & ~after[1:]) + 1
         self.raw = raw
         self.first = np.searchsorted(self.start, offsets)
-        if lower:
+        if lower or letters:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+        if letters:
+            latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
+            latin = latin[(raw[latin] >= 0x80) & (raw[latin] <= 0x9E) & (raw[latin] != 0x97)]
+            raw[latin] += 0x20
         self._bytes = raw
         self._word_hash: np.ndarray | None = None
 
