@@ -14,8 +14,10 @@ it with probability 2e-5, a pair at 0.85 with less than 1e-8.
 Not all pairs of a key are compared. Documents with equal sets are one class.
 In each key's group every member is compared with one centre, picked anew for
 each chunk; what that links is merged into components, and only groups that
-still hold several components go on, with new centres, until the pairs that
-remain across components are few. Those are then all compared. So no link
+still hold several components go on. In these, shingles that no other open
+document has bound each document's and each pair's similarity from above,
+which takes out what cannot link. The others meet new centres until the pairs
+that remain across components are few. Those are then all compared. So no link
 between components is missed, and pairs inside one are never listed.
 
 Cases: null or empty text, or text without words: empty set, linked with
@@ -182,6 +184,39 @@ class _Links:
         return self.compared
 
 
+def _unresolved(ws: Workspace, rows: DataFrame, component: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows (with their component) of the groups that hold several components, their number, and the pairs across."""
+    named = rows.join(component.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    named = ws.put(named, "named")
+    split = named.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
+    split = ws.put(split.agg(F.count("*").alias("c"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("c > 1"), "split")
+    open_ = ws.put(named.join(split.select("key"), "key"), "open")
+    n, across = split.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()
+    ws.drop(named, split)
+    return open_, n, across
+
+
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .wordhash import Words, buffers, shingle_sets
+
+        for batch in text_slices(batches):
+            sets = shingle_sets(Words(*buffers(combined(batch, "text")), lower=True), size)
+            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(doc)], ["h", "doc"])
+
+    return run
+
+
+def _unshared(ws: Workspace, docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc, u): how many of each listed document's shingles are in no other listed one."""
+    ids = ws.put(ids, "ids")
+    texts = _only(docs.select("doc_id", "text"), ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    seen = texts.mapInArrow(_shingles(size), "h long, doc long").groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc"))
+    alone = seen.where("c = 1").groupBy("doc").agg(F.count("*").alias("u"))
+    return ws.put(ids.toDF("doc").join(alone, "doc", "left").select("doc", F.coalesce("u", F.lit(0)).alias("u")), "unshared")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     ws = Workspace(spark, "neardup")
@@ -207,27 +242,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, size: int = 4, perc
 
     links = _Links(ws, docs, classes, size, percent)
     compared = links.compare(star(members, F.xxhash64("doc", "chunk")).select(*pair).distinct())
+    component = ws.put(connected_components(ws, compared.where("linked").select("a", "b")), "component")
+    open_, rows, across = _unresolved(ws, members.select("key", "doc", "n"), component)
+    if rows:
+        # what a document shares with no other open one bounds its similarity from above
+        bounded = open_.join(_unshared(ws, docs, open_.select(F.col("doc").alias("id")).distinct(), size), "doc")
+        bounded = bounded.where(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(percent) * F.col("n"))
+        open_, rows, across = _unresolved(ws, bounded.select("key", "doc", "n", "u"), component)
+    below = F.least(F.col("n") - F.col("u"), F.col("cn") - F.col("cu"))
+    above = F.greatest(F.col("n") + F.col("cu"), F.col("cn") + F.col("u"))
+    within = (F.lit(100) * below >= F.lit(percent) * above) & reach
     for turn in range(MOST_ROUNDS + 1):
-        component = ws.put(connected_components(ws, compared.where("linked").select("a", "b")), "component")
-        named = members.join(component.toDF("doc", "comp"), "doc", "left").select("key", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
-        named = ws.put(named, "named")
-        split = named.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
-        split = ws.put(split.agg(F.count("*").alias("c"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("c > 1"), "split")
-        open_ = ws.put(named.join(split.select("key"), "key"), "open")
-        rows, across = split.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()
-        ws.drop(named, split)
         if not rows:
             break
-        if across <= PAIRS_PER_ROW * rows or turn == MOST_ROUNDS:
-            other = open_.toDF("key", "centre", "cn", "ccomp")
-            rest = open_.join(other, "key").where((F.col("comp") < F.col("ccomp")) & reach).select(*pair).distinct()
-            compared = links.compare(rest)
-            component = ws.put(connected_components(ws, compared.where("linked").select("a", "b")), "component")
+        last = across <= PAIRS_PER_ROW * rows or turn == MOST_ROUNDS
+        if last:
+            other = open_.select("key", F.col("doc").alias("centre"), F.col("n").alias("cn"), F.col("u").alias("cu"), F.col("comp").alias("ccomp"))
+            differ = F.col("comp") < F.col("ccomp")
+        else:
+            order = F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("o"), F.col("doc").alias("centre"), F.col("n").alias("cn"), F.col("u").alias("cu"), F.col("comp").alias("ccomp"))
+            other = ws.put(open_.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.centre", "c.cn", "c.cu", "c.ccomp"), "centres")
+            differ = F.col("comp") != F.col("ccomp")
+        compared = links.compare(open_.join(other, "key").where(differ & within).select(*pair).distinct())
+        component = ws.put(connected_components(ws, compared.where("linked").select("a", "b")), "component")
+        if last:
             break
-        centres = ws.put(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("o"), F.col("doc").alias("centre"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))).alias("c")).select("key", "c.centre", "c.cn", "c.ccomp"), "centres")
-        pairs = open_.join(centres, "key").where((F.col("comp") != F.col("ccomp")) & reach).select(*pair).distinct()
-        compared = links.compare(pairs)
-        ws.drop(open_, centres)
+        open_, rows, across = _unresolved(ws, open_.select("key", "doc", "n", "u"), component)
 
     named = ws.put(
         classes.select("s1", "s2", "doc").join(component.toDF("doc", "comp"), "doc", "left").select("s1", "s2", F.coalesce("comp", "doc").alias("comp")),
