@@ -153,7 +153,7 @@ def _split(bits: Broadcast):
                 words = () if skip else data[a:b].split()
                 n.append(len(words))
                 digest.append(None if skip else hashlib.sha256(b" ".join(words)).hexdigest())
-            text = pc.if_else(pa.array(marked), pc.fill_null(combined(batch, "text"), ""), pa.scalar(None, pa.string()))
+            text = pc.fill_null(combined(batch, "text"), "").take(pa.array(np.arange(len(ids)), mask=~marked))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(n, pa.int64()), pa.array(digest, pa.string()), text], ["doc", "n_words", "kept_sha256", "text"]
             )
