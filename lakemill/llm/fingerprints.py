@@ -3,8 +3,9 @@
 A text's terms are its distinct lower-cased runs of letters and digits. Terms
 whose document frequency over all documents lies in a band are the lexicon:
 with average a of distinct terms a document, at most a / low of them, however
-many documents there are. The lexicon goes to the tasks as a bitmap of fixed
-size, indexed by term hash.
+many documents there are. The lexicon goes to the tasks as a constant bitmap
+of fixed size, indexed by term hash (so a term beyond the band may be taken
+for one of it, the same one everywhere).
 
 Subsets of the lexicon are drawn at random (by hash of the term) at several
 densities, DENSITIES: of a density 1/d, CLASSES subsets hold about 1/d of the
@@ -30,8 +31,8 @@ from pyspark.sql.window import Window as W
 from .store import Workspace, power_of_two
 
 #: Bounds of a lexicon term's document frequency, as shares of all documents.
-LOW, HIGH = 0.0005, 0.05
-BITS = 23
+LOW, HIGH = 0.001, 0.05
+BITS = 20
 DENSITIES = (8, 32, 128, 512)
 CLASSES = 32
 LEAST, LEAST_TERMS = 6, 4
@@ -47,45 +48,51 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.expr("xxhash64('')"))
 
 
-def lexicon_bitmap(spark: SparkSession, docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row with the array of 2**(BITS - 6) longs that marks the lexicon."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
+    """A constant array of 2**(BITS - 6) longs whose bits mark the terms of the band, by hash.
+
+    At most that many numbers come to the driver, whatever the corpus.
+    """
+    n = docs.count()
     seen = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    # one row of the document count, known to be one
-    band = seen.where((F.col("df") >= F.lit(low) * total.scalar()) & (F.col("df") <= F.greatest(F.lit(1.0), F.lit(high) * total.scalar())))
-    word = F.shiftrightunsigned("t", 64 - BITS + 6)
+    band = seen.where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
     bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(t, {64 - BITS}) & 63 AS INT))")
-    marked = band.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits"))
-    slots = spark.range(1 << (BITS - 6)).select(F.col("id").alias("w")).join(marked, "w", "left")
-    row = slots.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("m"))
-    return row.select(F.col("m.bits").alias("bitmap"))
+    marked = band.groupBy(F.shiftrightunsigned("t", 64 - BITS + 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    words = [0] * (1 << (BITS - 6))
+    for r in marked.collect():
+        words[r["w"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
-def fingerprint(found: Column, text: Column, bitmap: Column) -> Column:
-    """The fingerprint of a text with term hashes `found`."""
-    word = lambda h: F.element_at(bitmap, (F.shiftrightunsigned(h, 64 - BITS + 6) + 1).cast("int"))
+def in_lexicon(found: Column, marks: Column) -> Column:
+    """A text's terms of the lexicon; all its terms where these are too few."""
+    word = lambda h: F.element_at(marks, (F.shiftrightunsigned(h, 64 - BITS + 6) + 1).cast("int"))
     bit = lambda h: F.shiftrightunsigned(h, 64 - BITS).bitwiseAND(F.lit(63)).cast("int")
-    kept = F.filter(found, lambda h: F.getbit(word(h), bit(h)) == 1)
-    used = F.when(F.size(kept) >= LEAST_TERMS, kept).otherwise(found)
+    return F.filter(found, lambda h: F.getbit(word(h), bit(h)) == 1)
+
+
+def placed_terms(used: Column) -> Column:
+    """(subset, term) of every subset that holds a term, sorted."""
 
     def entries(h: Column) -> Column:
-        # one independent hash a density; its low bits pick the subset, if below CLASSES
         out = []
         for k, d in enumerate(DENSITIES):
+            # an independent hash a density picks the subset, if below CLASSES
             pick = F.pmod(F.shiftrightunsigned(F.xxhash64(h, F.lit(k)), 20), F.lit(d))
-            out.append(F.when(pick < CLASSES, F.struct((pick + k * CLASSES).cast("int").alias("s"), h.alias("h"))))
-        return F.array_compact(F.array(*out))
+            out.append(F.struct(F.when(pick < CLASSES, pick + k * CLASSES).cast("int").alias("s"), h.alias("h")))
+        return F.array(*out)
+
+    return F.array_sort(F.filter(F.flatten(F.transform(used, entries)), lambda e: e["s"].isNotNull()))
 
-    placed = F.array_sort(F.flatten(F.transform(used, entries)))
-    empty = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("r"), F.lit("").alias("out"))
 
-    def name(s: Column) -> Column:
-        letters = F.lit(_SUBSETS)
-        return F.concat(F.substr(F.lit("ABCD"), F.floor(s / CLASSES).cast("int") + 1, F.lit(1)), F.substr(letters, F.pmod(s, F.lit(CLASSES)) + 1, F.lit(1)))
+def digest(placed: Column) -> Column:
+    """Subset and hash of its sorted terms, for each subset in order."""
+    names = F.array(*[F.lit(a + b) for a in "ABCD" for b in _SUBSETS])
+    empty = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("r"), F.lit("").alias("out"))
 
     def shown(a: Column) -> Column:
-        digest = F.right(F.concat(F.lit("0000000"), F.lower(F.hex(a["r"].bitwiseAND(F.lit(0xFFFFFFFF))))), F.lit(8))
-        return F.when(a["s"] < 0, a["out"]).otherwise(F.concat(a["out"], name(a["s"]), digest, F.lit(" ")))
+        code = F.right(F.concat(F.lit("0000000"), F.lower(F.hex(a["r"].bitwiseAND(F.lit(0xFFFFFFFF))))), F.lit(8))
+        return F.when(a["s"] < 0, a["out"]).otherwise(F.concat(a["out"], F.element_at(names, a["s"] + 1), code, F.lit(" ")))
 
     def step(a: Column, e: Column) -> Column:
         same = a["s"] == e["s"]
@@ -95,10 +102,22 @@ def fingerprint(found: Column, text: Column, bitmap: Column) -> Column:
             F.when(same, a["out"]).otherwise(shown(a)).alias("out"),
         )
 
-    listed = F.rtrim(F.aggregate(placed, empty, step, shown))
-    return F.when(F.size(found) == 0, F.concat(F.lit("~~"), F.substring(F.sha2(text.cast("binary"), 256), 1, 8))).otherwise(
-        F.when(listed == "", F.concat(F.lit("~~"), F.substring(F.sha2(F.concat_ws(" ", F.transform(F.array_sort(found), lambda h: F.hex(h))).cast("binary"), 256), 1, 8))).otherwise(listed)
-    )
+    return F.rtrim(F.aggregate(placed, empty, step, shown))
+
+
+def fingerprints(rows: DataFrame, marks: Column, texts: dict[str, str]) -> DataFrame:
+    """Adds a fingerprint column for each text column (out: text column), which it takes away.
+
+    One projection a step, so that no step is worked out twice.
+    """
+    rest = [c for c in rows.columns if c not in texts.values()]
+    rows = rows.select(*rest, *[terms(F.col(t)).alias(o) for o, t in texts.items()], *[F.hex(F.xxhash64(t)).alias(f"_{o}") for o, t in texts.items()])
+    codes = [f"_{o}" for o in texts]
+    rows = rows.select(*rest, *codes, *[F.struct(F.col(o).alias("all"), in_lexicon(F.col(o), marks).alias("some")).alias(o) for o in texts])
+    rows = rows.select(*rest, *codes, *[F.when(F.size(f"{o}.some") >= LEAST_TERMS, F.col(f"{o}.some")).otherwise(F.col(f"{o}.all")).alias(o) for o in texts])
+    rows = rows.select(*rest, *codes, *[placed_terms(F.col(o)).alias(o) for o in texts])
+    rows = rows.select(*rest, *codes, *[digest(F.col(o)).alias(o) for o in texts])
+    return rows.select(*rest, *[F.when(F.col(o) == "", F.concat(F.lit("~~"), F.right(F.col(f"_{o}"), F.lit(8)))).otherwise(F.col(o)).alias(o) for o in texts])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -144,23 +163,18 @@ def with_next_text(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op2_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ws = Workspace(spark, "fingerprint")
-    bitmap = ws.put(lexicon_bitmap(spark, docs), "lexicon").scalar()
+    marks = lexicon(docs)
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
     pairs = with_next_text(spark, docs).select(
-        "doc_id", "text", n.cast("long").alias("n_chars"),
+        "doc_id",
+        "text",
+        n.cast("long").alias("n_chars"),
         F.concat(F.left("text", kept), F.left("next_text", n - kept)).alias("edited"),
         "next_text",
     )
-    marked = pairs.select(
-        "doc_id",
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(terms(F.col("text")), F.col("text"), bitmap).alias("fingerprint"),
-        fingerprint(terms(F.col("edited")), F.col("edited"), bitmap).alias("edited_fingerprint"),
-        fingerprint(terms(F.col("next_text")), F.col("next_text"), bitmap).alias("next_fingerprint"),
-    )
+    pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    marked = fingerprints(pairs, marks, {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"})
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
