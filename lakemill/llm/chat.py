@@ -56,12 +56,12 @@ def best_paths(spark: SparkSession, messages: DataFrame, branches: int = 1) -> D
     for k in range(max(1, math.ceil(math.log2(largest + 1)))):
         if not link.where("up IS NOT NULL").limit(1).count():
             break
+        # messages that have reached their root keep what they have; only the others join
+        moving = link.where("up IS NOT NULL")
         other = link.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("sum").alias("s2"))
-        far = link.join(other, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        link = ws.put(
-            far.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum")),
-            f"link{k + 1}",
-        )
+        far = moving.join(other, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        far = far.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("sum") + F.col("s2")).alias("sum"))
+        link = ws.put(link.where("up IS NULL").union(far), f"link{k + 1}")
         links.append(link)
     parents = links[0].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = link.where("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
