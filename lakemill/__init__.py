@@ -1,0 +1 @@
+"""A Spark engine for lakehouse tables and training data."""

@@ -1,0 +1 @@
+"""The dialect: what is read, rewritten and refused."""
