@@ -63,8 +63,10 @@ _SECRET = re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[ _-]?key|ac
 _BARE = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|(?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}))\b")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 _CARD = re.compile(r"(?<![\d.,-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\d-])")
+#: Between the parts of a number: a blank, point or dash, or what noise and table cells put there.
+_GAP = r"[!*$%&#]{0,3} ?(?:\| )?[.-]?"
 _PHONE = re.compile(
-    r"(?<![\w.])(?:\+\d{8,15}|\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){0,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}"
+    r"(?<![\w.])(?:\+\d{8,15}|\+\d{1,3}" + _GAP + r"\(\d{1,4}\)" + _GAP + r"\d{2,4}(?:[ .-]?\d{2,4}){0,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"
 )
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
