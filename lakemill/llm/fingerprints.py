@@ -111,7 +111,7 @@ def fingerprints(rows: DataFrame, marks: Column, texts: dict[str, str]) -> DataF
     One projection a step, so that no step is worked out twice.
     """
     rest = [c for c in rows.columns if c not in texts.values()]
-    rows = rows.select(*rest, *[terms(F.col(t)).alias(o) for o, t in texts.items()], *[F.hex(F.xxhash64(t)).alias(f"_{o}") for o, t in texts.items()])
+    rows = rows.select(*rest, *[terms(F.coalesce(t, F.lit(""))).alias(o) for o, t in texts.items()], *[F.hex(F.xxhash64(F.coalesce(t, F.lit("")))).alias(f"_{o}") for o, t in texts.items()])
     codes = [f"_{o}" for o in texts]
     rows = rows.select(*rest, *codes, *[F.struct(F.col(o).alias("all"), in_lexicon(F.col(o), marks).alias("some")).alias(o) for o in texts])
     rows = rows.select(*rest, *codes, *[F.when(F.size(f"{o}.some") >= LEAST_TERMS, F.col(f"{o}.some")).otherwise(F.col(f"{o}.all")).alias(o) for o in texts])
