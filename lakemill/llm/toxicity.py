@@ -7,7 +7,7 @@ A generative label model (prior, and the vote distribution of each voter in
 each class) is fitted by expectation-maximisation on the counts of vote
 patterns; voters whose votes go together beyond what the class explains are
 modelled jointly. Its posteriors are the labels that a sparse linear classifier
-on word and word-beginning features is trained on, and that gives the scores.
+on word and word-beginning features is trained on; its scores are calibrated on the labelled rows of its sample.
 
 Counts for lexicons and vote patterns come from all learnable rows; the
 classifier is fitted on a sample of at most about `sample` of them.
@@ -216,34 +216,35 @@ class LabelModel:
         return self
 
 
-def dependent_blocks(vote: np.ndarray, count: np.ndarray, p: np.ndarray, threshold: float = 0.3, widest: int = 4) -> list[tuple[int, ...]]:
-    """Voters linked by correlation within a class, strongest first, in blocks of at most `widest`."""
-    m = vote.shape[1]
-    block = {v: {v} for v in range(m)}
-    pairs = []
-    for a, b in combinations(range(m), 2):
-        strength = 0.0
+def strongest_pair(vote: np.ndarray, count: np.ndarray, p: np.ndarray, blocks: list[tuple[int, ...]], widest: int) -> tuple[float, int, int]:
+    """The blocks (by place) that hold the voters most correlated within a class, and that correlation."""
+    best = (0.0, 0, 0)
+    for i, j in combinations(range(len(blocks)), 2):
+        if len(blocks[i]) + len(blocks[j]) > widest:
+            continue
         for w in (count * (1 - p), count * p):
             total = w.sum()
             if total < 10:
                 continue
-            x, y = vote[:, a] - (vote[:, a] @ w) / total, vote[:, b] - (vote[:, b] @ w) / total
-            var = ((x * x) @ w) * ((y * y) @ w)
-            if var > 0:
-                strength = max(strength, abs((x * y) @ w) / np.sqrt(var))
-        pairs.append((strength, a, b))
-    for strength, a, b in sorted(pairs, reverse=True):
-        if strength >= threshold and block[a] is not block[b] and len(block[a]) + len(block[b]) <= widest:
-            joined = block[a] | block[b]
-            for v in joined:
-                block[v] = joined
-    return sorted({tuple(sorted(x)) for x in block.values()})
-
-
-def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray) -> LabelModel:
-    alone = LabelModel([(v,) for v in range(vote.shape[1])]).fit(vote, count, label)
-    p = np.where(label >= 0, label, alone.posterior(vote))
-    return LabelModel(dependent_blocks(vote, count, p)).fit(vote, count, label)
+            for a in blocks[i]:
+                for b in blocks[j]:
+                    x, y = vote[:, a] - (vote[:, a] @ w) / total, vote[:, b] - (vote[:, b] @ w) / total
+                    var = ((x * x) @ w) * ((y * y) @ w)
+                    if var > 0:
+                        best = max(best, (float(abs((x * y) @ w) / np.sqrt(var)), i, j))
+    return best
+
+
+def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray, threshold: float = 0.3, widest: int = 4) -> LabelModel:
+    """Joins the two most correlated blocks of voters and fits again, until none is above the threshold."""
+    model = LabelModel([(v,) for v in range(vote.shape[1])]).fit(vote, count, label)
+    while True:
+        p = np.where(label >= 0, label, model.posterior(vote))
+        strength, i, j = strongest_pair(vote, count, p, model.blocks, widest)
+        if strength < threshold:
+            return model
+        joined = tuple(sorted(model.blocks[i] + model.blocks[j]))
+        model = LabelModel(sorted([*(b for k, b in enumerate(model.blocks) if k not in (i, j)), joined])).fit(vote, count, label)
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, *, l1: float = 5e-6, l2: float = 1e-5, rounds: int = 800) -> tuple[np.ndarray, float]:
@@ -268,6 +269,19 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, *, l1: flo
     return w, b
 
 
+def calibrate(raw: np.ndarray, label: np.ndarray, least: int = 10, rounds: int = 30) -> tuple[float, float]:
+    """Slope and shift that make raw scores probabilities on labelled rows; none if either class has under `least`."""
+    if min((label == 0).sum(), (label == 1).sum()) < least:
+        return 1.0, 0.0
+    x, theta = np.stack([raw, np.ones(len(raw))], axis=1), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        g = x.T @ (p - label) + 1e-2 * (theta - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        theta = theta - np.linalg.solve(h, g)
+    return (float(theta[0]), float(theta[1])) if np.isfinite(theta).all() and theta[0] > 0 else (1.0, 0.0)
+
+
 def _scoring(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, w, b = model.value
@@ -304,11 +318,15 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, lear
     code = np.array([r["pattern"] for r in patterns], np.int64)
     vote = (code[:, None] // 3 ** np.arange(len(VOTERS))) % 3 - 1
     model = fit_label_model(vote, np.array([r["count"] for r in patterns], float), np.array([r["toxic"] for r in patterns], np.int64))
-    drawn = voted.where("features IS NOT NULL").select("pattern", "features", "position").orderBy("position", "features").limit(2 * sample).toArrow()
+    drawn = voted.where("features IS NOT NULL").select("pattern", "features", "position", "toxic").orderBy("position", "features").limit(2 * sample).toArrow()
     code = drawn.column("pattern").to_numpy()
     target = model.posterior((code[:, None] // 3 ** np.arange(len(VOTERS))) % 3 - 1)
     vectors = [np.frombuffer(x, "<i4").astype(np.int64) for x in drawn.column("features").to_pylist()]
     w, b = fit_linear(vectors, target, int(lex.index.max()) + 1)
+    label = np.array([-1 if x is None else x for x in drawn.column("toxic").to_pylist()], np.int64)
+    raw = np.array([b + w[v].sum() for v in vectors])
+    slope, shift = calibrate(raw[label >= 0], label[label >= 0])
+    w, b = slope * w, slope * b + shift
     scorer = spark.sparkContext.broadcast((lex.index, w, b))
     return docs.select("doc_id", "text").mapInArrow(_scoring(scorer), "doc_id long, score double, predicted int")
 
