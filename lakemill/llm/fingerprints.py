@@ -135,30 +135,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.array_max(F.transform(chosen, lambda s: s["share"])))
 
 
-def with_next_text(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next document by ascending doc_id; the first's for the last.
+def _runs(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text, run, place, next_text) and what follows each run (run, first_text).
 
-    Documents are dealt into runs of consecutive ids, one shuffle of the texts;
-    the last of a run takes the first of the next run that is not empty.
+    Documents are dealt into runs of consecutive ids, one shuffle of the texts.
+    next_text is null for the last of a run; the first of the next run that is
+    not empty follows it, and the first of all follows the last.
     """
     span = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    if not span["n"]:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
     low, high = span["a"] or 0, span["b"] or 0
     # at most 2**16 runs, whose first rows are put in order in one task
     width = -(-(high - low + 1) // power_of_two(span["n"] / RUN, 1, 1 << 16))
     run = F.coalesce(F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / width).cast("long"), F.lit(-1).cast("long"))
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run.alias("run"))
-    heads = dealt.groupBy("run").agg(F.min(F.struct("doc_id", "text")).alias("head"))
     ws = Workspace(spark, "next")
-    heads = ws.put(heads, "heads")
-    ordered = heads.select("run", F.lead("run").over(W.orderBy("run")).alias("after"))
-    first = heads.agg(F.min("run")).scalar()
-    ordered = ordered.select("run", F.coalesce("after", first).alias("after"))
-    follow = ordered.join(heads.select(F.col("run").alias("after"), F.col("head.text").alias("first_text")), "after").select("run", "first_text")
-    inside = dealt.withColumn("next_text", F.lead("text").over(W.partitionBy("run").orderBy("doc_id", "text")))
-    last = inside.join(follow, "run")
-    return last.select("doc_id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
+    heads = ws.put(dealt.groupBy("run").agg(F.min(F.struct("doc_id", "text")).alias("head")), "heads")
+    first = heads.agg(F.min("run")).first()[0]
+    after = F.coalesce(F.lead("run").over(W.orderBy("run")), F.lit(first))
+    follow = heads.select("run", after.alias("after")).join(heads.select(F.col("run").alias("after"), F.col("head.text").alias("first_text")), "after")
+    order = W.partitionBy("run").orderBy("doc_id", "text")
+    rows = dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
+    return rows, ws.put(follow.select("run", "first_text"), "follow")
+
+
+def with_next_text(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, text, next_text: the text of the next document by ascending doc_id; the first's for the last."""
+    rows, follow = _runs(spark, docs)
+    return rows.join(follow, "run").select("doc_id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
 
 
 def op2_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,17 +169,17 @@ def op2_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = lexicon(docs)
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
-    pairs = with_next_text(spark, docs).select(
-        "doc_id",
-        "text",
-        n.cast("long").alias("n_chars"),
-        F.concat(F.left("text", kept), F.left("next_text", n - kept)).alias("edited"),
-        "next_text",
-    )
-    pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    marked = fingerprints(pairs, marks, {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"})
+    rows, follow = _runs(spark, docs)
+    rows = rows.join(follow, "run").withColumn("after", F.coalesce("next_text", "first_text"))
+    edited = rows.select("run", "place", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.left("text", kept), F.left("after", n - kept)).alias("edited"))
+    edited = edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    marked = fingerprints(edited, marks, {"fingerprint": "text", "edited_fingerprint": "edited"})
+    # the next document's fingerprint is worked out with that document, the next run's first once a run
+    heads = fingerprints(follow, marks, {"first_fingerprint": "first_text"})
+    after = F.coalesce(F.lead("fingerprint").over(W.partitionBy("run").orderBy("place")), F.col("first_fingerprint"))
+    marked = marked.join(heads, "run").withColumn("after", after)
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("after")).alias("near_next"),
     )
