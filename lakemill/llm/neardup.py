@@ -48,7 +48,7 @@ _MULTIPLY = _RNG.integers(0, 1 << 32, K, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, K, dtype=np.uint32)
 
 #: Members of unresolved groups whose pairs are all compared at once, relative to their rows; before, centres are tried.
-PAIRS_PER_ROW, MOST_ROUNDS = 3, 8
+PAIRS_PER_ROW, MOST_ROUNDS = 50, 8
 #: Ids that are sent to every executor (8 bytes each); beyond that they are joined.
 BROADCAST_IDS = 500_000
 

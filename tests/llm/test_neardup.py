@@ -55,7 +55,7 @@ def test_edges(spark, nasty, empty, listed):
     assert near_duplicates(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("pairs_per_row", [3, 0])
+@pytest.mark.parametrize("pairs_per_row", [50, 0])
 def test_chains(spark, monkeypatch, pairs_per_row):
     """Large groups with borderline links; with 0, every round of centres is gone through."""
     monkeypatch.setattr(neardup, "PAIRS_PER_ROW", pairs_per_row)
