@@ -28,9 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups by five-word shingles at a similarity of 0.8 or more; equal rows of one doc_id are one document."""
-    kept = neardup.near_duplicates(spark, docs, size=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Groups by five-word shingles at a similarity of 0.8 or more; one row of each stays.
+
+    Rows are told apart by a key of their own, as doc_id may be null or repeated; rows without words are linked with nothing."""
+    ws = Workspace(spark, "near_dedup")
+    rows = ws.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(spark, rows.select(F.col("_row").alias("doc_id"), "text"), size=5)
+    return rows.join(found.where("kept").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

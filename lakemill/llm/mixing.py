@@ -75,17 +75,24 @@ def plan_mix(
     share: float = 1.0,
     seed: str = "mix",
     workspace: Workspace | None = None,
+    row: str | None = None,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, virtual_finish, taken.
 
+    `row` names a column with a distinct BIGINT for each row, which the plan
+    then carries; it settles ties and places rows whose doc_id is null.
+
     `taken` counts words, repeats included: full passes over the source, then
     the part of a last pass that ends at the source's target.
     """
     ws = workspace or Workspace(spark, "mix")
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    own = [row] if row else []
+    unnamed = F.concat(F.lit("null:"), F.col(row).cast("string")) if row else F.lit("null")
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), unnamed)).cast("binary"))
     sized = ws.put(
         docs.select(
             "doc_id",
+            *own,
             "source",
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
             (word_count(F.col("text")) if size is None else size).alias("size"),
@@ -104,7 +111,7 @@ def plan_mix(
         per_cell.select("skey", "cell", F.coalesce(F.sum("cell_size").over(order), F.lit(0)).alias("offset")).join(targets, "skey"),
         "offsets",
     )
-    running = W.partitionBy("skey", "cell").orderBy("shuffled", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = W.partitionBy("skey", "cell").orderBy("shuffled", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, W.currentRow)
     cum = F.col("offset") + F.sum("size").over(running)
     placed = sized.join(offsets, ["skey", "cell"]).withColumn("cum", cum)
     whole = F.floor("target").cast("long")
@@ -113,6 +120,7 @@ def plan_mix(
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("cum") - F.col("size"))))
     return placed.select(
         "doc_id",
+        *own,
         "source",
         "size",
         "source_size",
@@ -130,12 +138,13 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     per copy, range-sorted by virtual finish time. A copy that the stop falls
     into keeps its first words only. Documents of size 0 are kept once.
 
-    doc_id identifies a document here; repeated rows share their plan."""
+    Rows have plans of their own, whether doc_id is null, repeated or neither."""
     ws = Workspace(spark, "mixed")
-    plan = ws.put(plan_mix(spark, docs, workspace=ws, **options), "plan").select(
-        F.col("doc_id").alias("_id"), "passes", "part", "virtual_finish", "weight", "source_size", F.col("size").alias("_size")
+    columns = docs.columns
+    docs = ws.put(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    plan = ws.put(plan_mix(spark, docs, workspace=ws, row="_row", **options), "plan").select(
+        F.col("_row").alias("_id"), "passes", "part", "virtual_finish", "weight", "source_size", F.col("size").alias("_size")
     )
-    plan = plan.groupBy("_id").agg(*[F.min(c).alias(c) for c in plan.columns if c != "_id"])
     copies = F.col("passes") + (F.col("part") > 0).cast("long")
     copies = F.when(F.col("_size") == 0, F.lit(1).cast("long")).otherwise(copies)
     turns = plan.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
@@ -145,7 +154,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
         F.when(cut & (F.col("part") < F.col("_size")), F.col("part")).alias("_words"),
         (F.col("virtual_finish") + F.col("_copy") * F.col("source_size") / F.col("weight")).alias("_finish"),
     )
-    rows = docs.join(turns, docs["doc_id"].eqNullSafe(F.col("_id")))
+    rows = docs.join(turns, docs["_row"] == F.col("_id"))
     text = F.col("text")
     body = F.regexp_replace(text, "^" + SEPARATORS, "")
     tail = F.element_at(F.split(body, SEPARATORS, (F.col("_words") + 1).cast("int")), -1)
@@ -154,7 +163,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     text = F.when(F.col("_words").isNull(), text).otherwise(head)
     columns = [
         text.alias("text") if c == "text" else F.when(F.col("_words").isNull(), F.col(c)).otherwise(F.length(text)).cast("long").alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns
+        for c in columns
     ]
     out = first.select(*columns, F.col("_finish"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

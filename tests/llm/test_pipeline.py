@@ -37,3 +37,29 @@ def test_tables_without_rows(spark, data, empty):
     docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data).count() == 0
+
+
+def _distinct_texts(n):
+    return [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(n)]
+
+
+def test_null_and_repeated_ids_keep_their_documents(spark, data):
+    texts = _distinct_texts(9)
+    ids = [None, None, None, 5, 5, 6, 7, None, 8]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, texts[0], "en", "s", len(texts[0])), (5, texts[3], "en", "s", len(texts[3])), (9, texts[6], "en", "s", len(texts[6]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, data).toArrow().to_pylist()
+    assert sorted(r["text"] for r in got) == sorted(texts)
+
+
+def test_rows_of_one_id_are_mixed_apart(spark, data):
+    texts = _distinct_texts(60)
+    rows = [(None if k % 2 else 5, t + " more" * (k % 7), "a" if k < 20 else "b", "en") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, s, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, data).toArrow().to_pylist()
+    words = {s: sum(len(t.split()) for _, t, source, _ in rows if source == s) for s in "ab"}
+    mixed = {s: sum(len(r["text"].split()) for r in got if r["source"] == s) for s in "ab"}
+    # a takes 5 parts, b 2, each at most three times its words
+    a = min(3 * words["a"], sum(words.values()) * 5 / 7)
+    assert abs(mixed["a"] - a) <= 1 and abs(mixed["b"] - (sum(words.values()) - a)) <= 1
