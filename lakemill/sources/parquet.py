@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -94,26 +95,20 @@ def _base(files: list[str], keys: list[str]) -> str:
 
 
 def check_schemas(spark: SparkSession, files: list[str]) -> None:
-    """All files must have one schema: names, order and types. Footers are read by the executors."""
+    """All files must have one schema: names, order and types. Footers are read by the executors, every file's."""
     if len(files) < 2:
         return
-    first = spark.read.parquet(files[0]).schema
-    for file in _different(spark, files):
-        raise StorageError(f"schema of {file} differs from {files[0]}: {first.simpleString()}")
 
+    def columns(file: str) -> list[tuple[str, T.DataType]]:
+        return [(f.name, f.dataType) for f in spark.read.parquet(file).schema]
 
-def _different(spark: SparkSession, files: list[str]) -> list[str]:
-    """Files whose footer schema is not the first one's. One merged-schema pass finds most cases without a job per file."""
-    merged = spark.read.option("mergeSchema", "true")
-    one = spark.read.parquet(files[0]).schema
-    try:
-        if merged.parquet(*files).schema == one:
-            # a file that lacks a column still merges to the same schema; its own columns tell
-            counts = {f: len(spark.read.parquet(f).schema) for f in (files if len(files) <= 64 else files[:1] + files[-1:])}
-            return [f for f, n in counts.items() if n != len(one)]
-    except Exception:
-        pass
-    return [f for f in files[1:] if spark.read.parquet(f).schema != one] or files[1:2]
+    first = columns(files[0])
+    # a merged schema hides a file that lacks a column, so each file is asked; the jobs run beside each other
+    with ThreadPoolExecutor(min(64, max(8, spark.sparkContext.defaultParallelism))) as pool:
+        for file, own in zip(files[1:], pool.map(columns, files[1:]), strict=True):
+            if own != first:
+                pool.shutdown(wait=False, cancel_futures=True)
+                raise StorageError(f"schema of {file} differs from {files[0]}: {T.StructType([T.StructField(*c) for c in first]).simpleString()}")
 
 
 def read_parquet(spark: SparkSession, *paths: str, root: str | None = None, strict: bool = True) -> DataFrame:

@@ -34,6 +34,18 @@ def test_schemas_must_agree(spark, tmp_path):
         read_parquet(spark, str(tmp_path / "b"), str(tmp_path / "c"))
 
 
+def test_one_file_of_many_lacks_a_column(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k in range(70):
+        pq.write_table(pa.table({"id": [k]} if k == 35 else {"id": [k], "x": [k]}), tmp_path / f"f{k:02d}.parquet")
+    with pytest.raises(StorageError, match="f35"):
+        read_parquet(spark, str(tmp_path))
+    (tmp_path / "f35.parquet").unlink()
+    assert read_parquet(spark, str(tmp_path)).count() == 69
+
+
 def test_hive_types(spark, tmp_path):
     spark.sql("SELECT 1L AS id, '2024-01-02' AS day, 7 AS n, 'x' AS s").write.partitionBy("day", "n", "s").parquet(str(tmp_path / "t"))
     out = read_parquet(spark, str(tmp_path / "t"))
