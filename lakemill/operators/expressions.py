@@ -25,7 +25,7 @@ ENTRIES = {
     "extract_year": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y FROM orders",
     "extract_month": "SELECT o_orderkey, CAST(EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS m FROM orders",
     "extract_day": "SELECT o_orderkey, CAST(EXTRACT(DAY FROM o_orderdate) AS BIGINT) AS d FROM orders",
-    "extract_from_date": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM CAST(o_orderdate AS DATE)) AS BIGINT) AS y FROM orders WHERE o_orderkey < 1000",
+    "extract_from_date": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM CAST(o_orderdate AS DATE)) AS BIGINT) AS y FROM orders",
     "literal_kinds": "SELECT n_nationkey, CAST(42 AS BIGINT) AS i, 1.5e0 AS d, 'text' AS s, TRUE AS t, FALSE AS f, DATE '1998-12-01' AS day, CAST(NULL AS BIGINT) AS n FROM nation",
     "like_in_select": "SELECT p_partkey, p_name LIKE '%gadget%' AS is_gadget FROM part",
     "boolean_in_select": "SELECT p_partkey, p_size > 10 AND p_size < 20 AS middle, NOT (p_size = 1) AS more FROM part",

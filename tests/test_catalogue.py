@@ -46,3 +46,9 @@ def test_pushdown_reaches_the_scan(spark, data):
 
 def test_topk_is_fused(spark, data):
     assert "TakeOrderedAndProject" in FOUND["topk"].run(spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extract_from_date_reads_all_orders(spark, tmp_path):
+    spark.sql("SELECT id AS o_orderkey, TIMESTAMP_NTZ '1995-06-01' + make_dt_interval(CAST(id AS INT)) AS o_orderdate FROM range(2000)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = FOUND["extract_from_date"].run(spark, str(tmp_path)).collect()
+    assert sorted(r.o_orderkey for r in got) == list(range(2000)) and {r.y for r in got} == set(range(1995, 2001))
