@@ -57,13 +57,17 @@ def hive_partition_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _partitioned(spark, sf_dir).where((F.col("order_year") == 1997) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "order_year")
 
 
-def hive_date_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _scratch(spark)
-    table = _orders(spark, sf_dir).where("o_orderdate < TIMESTAMP_NTZ '1995-01-11'").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    table = _orders(spark, sf_dir).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     table.repartition("day").write.partitionBy("day").parquet(at)
     return read_parquet(spark, at)
 
 
+def hive_date_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_day(spark, sf_dir).where("day < DATE '1995-01-11'")
+
+
 ENTRIES = {
     "multi_path_scan": Entry(multi_path_scan, "SELECT o_orderkey, o_totalprice FROM orders"),
     "glob_scan": Entry(glob_scan, "SELECT o_orderkey, o_orderstatus FROM orders"),

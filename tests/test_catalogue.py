@@ -52,3 +52,13 @@ def test_extract_from_date_reads_all_orders(spark, tmp_path):
     spark.sql("SELECT id AS o_orderkey, TIMESTAMP_NTZ '1995-06-01' + make_dt_interval(CAST(id AS INT)) AS o_orderdate FROM range(2000)").write.parquet(f"{tmp_path}/orders.parquet")
     got = FOUND["extract_from_date"].run(spark, str(tmp_path)).collect()
     assert sorted(r.o_orderkey for r in got) == list(range(2000)) and {r.y for r in got} == set(range(1995, 2001))
+
+
+def test_date_partitions_hold_the_whole_table(spark, tmp_path):
+    from lakemill.operators import scans
+
+    spark.sql("SELECT id AS o_orderkey, TIMESTAMP_NTZ '1995-01-01' + make_dt_interval(CAST(id % 40 AS INT)) AS o_orderdate FROM range(200)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = scans._by_day(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"o_orderkey": "bigint", "day": "date"} and len(got.inputFiles()) >= 40
+    want = spark.sql("SELECT id, DATE '1995-01-01' + CAST(id % 40 AS INT) FROM range(200)").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
