@@ -62,3 +62,11 @@ def test_date_partitions_hold_the_whole_table(spark, tmp_path):
     assert dict(got.dtypes) == {"o_orderkey": "bigint", "day": "date"} and len(got.inputFiles()) >= 40
     want = spark.sql("SELECT id, DATE '1995-01-01' + CAST(id % 40 AS INT) FROM range(200)").collect()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_null_keys_join_over_the_whole_table(spark, tmp_path):
+    spark.sql("SELECT id AS p_partkey, CAST(id % 50 + 1 AS INT) AS p_size FROM range(1, 601)").write.parquet(f"{tmp_path}/part.parquet")
+    got = FOUND["join_null_keys"].run(spark, str(tmp_path)).collect()
+    size = lambda key: key % 50 + 1
+    want = [(a, b) for a in range(1, 601) for b in range(1, 601) if size(a) == size(b) > 25]
+    assert sorted(map(tuple, got)) == want
