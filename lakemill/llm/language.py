@@ -32,8 +32,6 @@ DIM = 1 << DIM_BITS
 ORDERS = 3
 #: Rows of each language that the classifier is fitted on, at most about.
 PER_LANGUAGE = 1500
-#: Languages learned at most; the most frequent are taken.
-MOST_LANGUAGES = 200
 #: Code points handled at a time.
 _SPAN = 1 << 20
 
@@ -96,11 +94,26 @@ def _vector(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return x / norm if norm else x
 
 
+@dataclass
+class Sparse:
+    """Weights other than zero by bucket: those of bucket f are at first[f] to first[f + 1]."""
+
+    first: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+    classes: int
+
+    def scores(self, found: np.ndarray, x: np.ndarray) -> np.ndarray:
+        start, n = self.first[found], self.first[found + 1] - self.first[found]
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.language[at], weights=self.value[at] * np.repeat(x, n), minlength=self.classes)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray
+    weights: Sparse | None
     bias: np.ndarray
     temperature: float
 
@@ -113,13 +126,13 @@ class Model:
         found, counts = ngram_counts(text)
         if not len(found) or not self.languages:
             return "und", 0.0
-        p = self.probabilities(_vector(found, counts, self.idf) @ self.weights[found] + self.bias)
+        p = self.probabilities(self.weights.scores(found, _vector(found, counts, self.idf)) + self.bias)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (DIM, classes), most of them zero, and biases. Rows are (buckets, values)."""
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, epochs: int = 3) -> tuple[Sparse, np.ndarray]:
+    """Weights, most of them zero, and biases. Rows are (buckets, values)."""
     z = np.zeros((DIM + 1, classes))
     n = np.zeros((DIM + 1, classes))
     order = np.random.Generator(np.random.PCG64(7))
@@ -143,8 +156,15 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, clas
             root = np.sqrt(n[at] + g * g)
             z[at] += g - (root - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    w = weights(np.arange(DIM + 1))
-    return w[:DIM], w[DIM]
+    sizes, language, value = [], [], []
+    for at in range(0, DIM, 1024):
+        w = weights(np.arange(at, min(DIM, at + 1024)))
+        some = w != 0
+        sizes.append(some.sum(axis=1))
+        language.append(np.nonzero(some)[1].astype(np.int32))
+        value.append(w[some])
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return Sparse(first, np.concatenate(language), np.concatenate(value), classes), weights(np.array([DIM]))[0]
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -201,10 +221,10 @@ def train(spark: SparkSession, rows: DataFrame, per_language: int = PER_LANGUAGE
     df = np.zeros(DIM)
     df[feature[feature >= 0]] = n[feature >= 0]
     idf = np.log((1 + documents) / (1 + df)) + 1
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
-        return Model([], idf, np.zeros((DIM, 1)), np.zeros(1), 1.0)
+        return Model([], idf, None, np.zeros(1), 1.0)
     # a share of each language by hash, so that about per_language of its rows are drawn
     share = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
     order = F.md5(F.concat(F.lit("language:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
@@ -222,10 +242,14 @@ def train(spark: SparkSession, rows: DataFrame, per_language: int = PER_LANGUAGE
             vectors.append((found, _vector(found, np.frombuffer(r["counts"], "<u4").astype(float), idf)))
             labels.append(number[r["lang"]])
     y = np.array(labels, np.int64)
-    held = np.arange(len(y)) % 5 == 4
+    # every fifth row of a language, so that rare ones are learned too
+    turn, held = np.zeros(len(languages), np.int64), np.zeros(len(y), bool)
+    for k, c in enumerate(labels):
+        turn[c] += 1
+        held[k] = turn[c] % 5 == 0
     fit_rows = [v for v, h in zip(vectors, held, strict=True) if not h]
     weights, bias = fit_ftrl(fit_rows, y[~held], len(languages))
-    logits = np.array([x @ weights[f] + bias for (f, x), h in zip(vectors, held, strict=True) if h]).reshape(-1, len(languages))
+    logits = np.array([weights.scores(f, x) + bias for (f, x), h in zip(vectors, held, strict=True) if h]).reshape(-1, len(languages))
     return Model(languages, idf, weights, bias, fit_temperature(logits, y[held]))
 
 

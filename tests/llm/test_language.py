@@ -34,6 +34,18 @@ def test_edges(spark, nasty, empty):
     assert {r["lang_pred"] for r in identify(spark, nasty, F.lit(False)).toArrow().to_pylist()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{k:03d}" for k in range(230)]
+    rows = []
+    for k, name in enumerate(names):
+        word = "".join(chr(0x4E00 + 5 * k + j) for j in range(5))
+        rows += [(len(rows) + i, " ".join([word, word[i % 3 :], word]), name) for i in range(1 if k == 229 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(spark, docs, F.lit(True)).toArrow().to_pylist()
+    assert {r["lang_pred"] for r in got} == set(names)
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+
+
 def test_held_out(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")
     got = op7_identify_language(spark, data).join(docs, "doc_id").where("held_out").toArrow().to_pylist()
