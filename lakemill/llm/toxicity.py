@@ -37,8 +37,8 @@ from .store import Workspace
 BITS = 20
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
-#: Features that the classifier uses, and rows it is fitted on, at most about.
-FEATURES, SAMPLE = 4096, 20_000
+#: Rows that the classifier is fitted on, at most about.
+SAMPLE = 20_000
 #: Label rows that are sent to every executor; beyond that they are joined.
 BROADCAST_ROWS = 500_000
 
@@ -110,7 +110,7 @@ class Lexicons:
         self.fixed = np.unique((mix(w.hash) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
-def learn_lexicons(table: pa.Table, features: int = FEATURES) -> Lexicons:
+def learn_lexicons(table: pa.Table) -> Lexicons:
     feature, n0, n1 = (table.column(c).to_numpy().astype(np.float64) for c in ("feature", "n0", "n1"))
     size = 1 << BITS
     ratio, strong, index = np.zeros(size), np.zeros(size, bool), np.full(size, -1, np.int32)
@@ -124,9 +124,8 @@ def learn_lexicons(table: pa.Table, features: int = FEATURES) -> Lexicons:
     ratio[at[told]] = np.clip(log_odds[told], -4, 4)
     sure = told & (z >= 3.5) & (log_odds >= 3) & (a >= 5)
     strong[at[sure]] = True
-    best = np.lexsort((at, -np.abs(z)))[:features]
-    best = best[told[best]]
-    index[at[best]] = np.arange(len(best))
+    # all that are told apart are features; the classifier's penalty leaves few weights
+    index[np.sort(at[told])] = np.arange(told.sum())
     out = Lexicons(ratio, strong, index)
     known = index.max() + 1
     for k, bucket in enumerate(b for b in out.fixed.tolist() if index[b] < 0):

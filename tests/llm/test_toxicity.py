@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakemill.llm.language import fold
-from lakemill.llm.toxicity import fit_label_model, op3_score_toxicity, score_toxicity
+from lakemill.llm.toxicity import fit_label_model, learn_lexicons, op3_score_toxicity, score_toxicity
 
 
 def test_label_model_finds_accuracies_and_pairs():
@@ -19,6 +20,15 @@ def test_label_model_finds_accuracies_and_pairs():
     assert ((model.posterior(patterns)[inverse.ravel()] > 0.5) == y).mean() > 0.9
 
 
+def test_every_feature_told_apart_is_used():
+    n = 9000
+    seen = [1000] * (n - 1) + [6, 100_000]
+    table = pa.table({"feature": [*range(n), -1], "n0": [100] * (n - 1) + [0, 100_000], "n1": seen})
+    lex = learn_lexicons(table)
+    used = lex.index[:n]
+    assert (used >= 0).sum() == n - 1 + (lex.ratio[n - 1] != 0) and len(set(used[used >= 0])) == (used >= 0).sum()
+
+
 def test_edges(spark, nasty, empty):
     labels = spark.createDataFrame([(18, 1), (0, 0), (None, 1), (3, None), (18, 1)], "doc_id long, toxic int")
     got = score_toxicity(spark, nasty, labels, F.lit(True)).toArrow().to_pylist()
