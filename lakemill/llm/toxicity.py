@@ -39,6 +39,8 @@ BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
 #: Rows that the classifier is fitted on, at most about.
 SAMPLE = 20_000
+#: Code points handled at a time.
+_SPAN = 1 << 20
 #: Label rows that are sent to every executor; beyond that they are joined.
 BROADCAST_ROWS = 500_000
 
@@ -133,6 +135,26 @@ def learn_lexicons(table: pa.Table) -> Lexicons:
     return out
 
 
+def _kinds() -> np.ndarray:
+    """2 for capitals, 1 for other letters, 0 for the rest of the code points."""
+    global _KINDS
+    if _KINDS is None:
+        _KINDS = np.array([2 if c.isupper() and c.isalpha() else int(c.isalpha()) for c in map(chr, range(0x110000))], np.uint8)
+    return _KINDS
+
+
+_KINDS: np.ndarray | None = None
+
+
+def capitals(text: str) -> tuple[int, int]:
+    """Capitals and letters of a whole text."""
+    upper = letters = 0
+    for at in range(0, len(text), _SPAN):
+        kind = _kinds()[np.frombuffer(text[at : at + _SPAN].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        upper, letters = upper + int(np.count_nonzero(kind == 2)), letters + int(np.count_nonzero(kind))
+    return upper, letters
+
+
 def votes(batch: pa.RecordBatch, lex: Lexicons) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Votes (-1 clean, 0 abstain, 1 toxic) of every text, and its (text, feature) pairs."""
     words = _tokens(batch)
@@ -152,8 +174,8 @@ def votes(batch: pa.RecordBatch, lex: Lexicons) -> tuple[np.ndarray, np.ndarray,
         if text and fixed[k] and _ADDRESS.search(text):
             out[k, 5] = 1
         if text:
-            upper, stress = sum(map(str.isupper, text[:: max(1, len(text) // 400)])), text.count("!")
-            out[k, 6] = 1 if upper > 200 else 0
+            (upper, letters), stress = capitals(text), text.count("!")
+            out[k, 6] = 1 if 2 * upper > letters else 0
             out[k, 7] = 1 if stress * 20 > len(text) else 0
     feature = lex.index[bucket]
     return out, owner[feature >= 0], feature[feature >= 0].astype(np.int64)

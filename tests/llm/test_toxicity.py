@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.llm.language import fold
-from lakemill.llm.toxicity import fit_label_model, learn_lexicons, op3_score_toxicity, score_toxicity
+from lakemill.llm.toxicity import VOTERS, fit_label_model, learn_lexicons, op3_score_toxicity, score_toxicity, votes
 
 
 def test_label_model_finds_accuracies_and_pairs():
@@ -29,6 +29,14 @@ def test_every_feature_told_apart_is_used():
     assert (used >= 0).sum() == n - 1 + (lex.ratio[n - 1] != 0) and len(set(used[used >= 0])) == (used >= 0).sum()
 
 
+def test_shouting_is_a_share_of_the_letters_at_every_length():
+    lex = learn_lexicons(pa.table({"feature": [-1], "n0": [1], "n1": [1]}))
+    strides = "".join("a" if k % 4 == 0 else "B" for k in range(1600))
+    texts = ["GO AWAY NOW", "go away", "A" * 240 + "b" * 559, "A" * 500 + "b" * 299, strides, strides.swapcase(), "ÉÀÜ ЖЩ", "12 !?", "", None]
+    vote, _, _ = votes(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), lex)
+    assert vote[:, VOTERS.index("shouting")].tolist() == [1, 0, 0, 1, 1, 0, 1, 0, 0, 0]
+
+
 def test_edges(spark, nasty, empty):
     labels = spark.createDataFrame([(18, 1), (0, 0), (None, 1), (3, None), (18, 1)], "doc_id long, toxic int")
     got = score_toxicity(spark, nasty, labels, F.lit(True)).toArrow().to_pylist()
