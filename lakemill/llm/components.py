@@ -5,39 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, join_hot
 
 
-def connected_components(ws: Workspace, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _state(edges: DataFrame):
+    """What tells whether a round changed anything: every edge adds its own mark, in decimals, as ids may lie near the ends of their range."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
+
+
+def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); component is the smallest node reachable.
 
     Each round joins neighbours to the smallest node known in their
-    neighbourhood, so a chain of n nodes takes about log n rounds. Only minima
-    are aggregated, which combine before the shuffle, and a round's edges are
-    written before the next reads them.
+    neighbourhood, so a chain of n nodes takes about log n rounds; rounds end
+    when the edges no longer change. Only minima are aggregated, which combine
+    before the shuffle, a node with many edges meets them by broadcast, and a
+    round's edges are written before the next reads them.
     """
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
     now = ws.put(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    state = None
-    for _ in range(most_rounds):
-        near = both(now)
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    state = _state(now)
+    while state[0]:
         # large star: every larger neighbour moves to the smallest node in sight
-        large = near.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        near = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        low = ws.put(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("many")), "low")
+        large = join_hot(near, low, ["u"], "many", 2 * state[0]).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         large = ws.put(large, "large")
+        ws.drop(now, low)
         # small star: the node and its smaller neighbours move to the smallest of them
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a < b").distinct()
-        ws.drop(now)
+        low = ws.put(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "low")
+        small = join_hot(down, low, ["u"], "many", large.count()).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a < b").distinct()
         now = ws.put(small, "small")
-        ws.drop(large)
-        # every edge adds its own mark, so equal sums mean equal edge sets
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("a").cast("string")).first()
-        if found == state:
+        ws.drop(large, low)
+        before, state = state, _state(now)
+        if before == state:
             break
-        state = found
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
     return roots.union(now.select("a", F.col("a").alias("component")).distinct())

@@ -1,3 +1,4 @@
+from lakemill.llm import store
 from lakemill.llm.components import connected_components
 from lakemill.llm.store import Workspace
 
@@ -10,3 +11,11 @@ def test_chain_star_and_ring(spark):
 
 def test_none(spark):
     assert connected_components(Workspace(spark, "test"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_near_the_ends_and_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(store, "HOT", 3)
+    top = (1 << 63) - 1
+    edges = [(top, top - 1), (top - 1, top - 2), (-top - 1, -top), (-top, 5), (-top - 1, top - 9)] + [(top - 2, top - 20 - k) for k in range(30)]
+    got = dict(map(tuple, connected_components(Workspace(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {got[k] for k in (5, -top, -top - 1, top - 9)} == {-top - 1} and {got[k] for k in (top, top - 1, top - 2, top - 49)} == {top - 49}

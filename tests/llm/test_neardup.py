@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from lakemill.llm import neardup
+from lakemill.llm import neardup, store
 from lakemill.llm.neardup import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,17 +55,41 @@ def test_edges(spark, nasty, empty, listed):
     assert near_duplicates(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("pairs_per_row", [50, 0])
-def test_chains(spark, monkeypatch, pairs_per_row):
-    """Large groups with borderline links; with 0, every round of centres is gone through."""
-    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", pairs_per_row)
-    monkeypatch.setattr(neardup, "MOST_ROUNDS", 2)
-    rows = _chain(80, 5)
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_chains(spark, seed):
+    """Large families with borderline links, copies within and beyond reach of the text they vary."""
+    rows = _chain(80, seed) + [(i + 10_000, t) for i, t in _chain(50, seed + 90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert _got(near_duplicates(spark, docs)) == brute(rows, 4)
 
 
-def test_joined_ids_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
-    rows = _chain(30, 9)
+def test_joined_bases_and_hot_keys_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(store, "HOT", 4)
+    rows = _chain(60, 9)
     assert _got(near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 4)
+
+
+def test_extreme_null_and_shared_ids(spark):
+    top = (1 << 63) - 1
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join(words[1:]), " ".join(words[::-1])
+    rows = [(top, a), (top - 1, b), (-top - 1, c), (None, a), (None, "alone in the world it stands"), (7, a + " x"), (7, "quite another text under one id"), (8, c + " y")]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).toArrow().to_pylist()
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str)
+    low = -top - 1
+    expected = [(top, 7, False), (top - 1, 7, False), (low, low, True), (None, 7, False), (None, None, True), (7, 7, True), (7, 7, True), (8, low, False)]
+    assert got == sorted(expected, key=str)
+
+
+def test_signatures_of_borderline_pairs_stay_within_reach():
+    """Of 20,000 pairs of similarity 0.8, none is further apart than the threshold, and distances spread as ideal hashing has it."""
+    random = np.random.Generator(np.random.PCG64(3))
+    far = []
+    for _ in range(20_000):
+        n = int(random.integers(20, 60))
+        shared = random.integers(0, 1 << 63, 8 * n, dtype=np.uint64)
+        x, y = (np.concatenate([shared, random.integers(0, 1 << 63, n, dtype=np.uint64)]) for _ in range(2))
+        sig = neardup._signatures([x, y])
+        far.append(int((sig[0] != sig[1]).sum()))
+    assert max(far) <= neardup.TAU and abs(np.mean(far) - 12.8) < 0.1 and abs(np.std(far) - 3.2) < 0.1
