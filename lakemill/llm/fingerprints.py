@@ -2,24 +2,27 @@
 
 A text's terms are its distinct lower-cased runs of letters and digits. Terms
 whose document frequency over all documents lies in a band are the lexicon:
-with average a of distinct terms a document, at most a / low of them, however
-many documents there are. The lexicon goes to the tasks as a constant bitmap
-of fixed size, indexed by term hash (so a term beyond the band may be taken
-for one of it, the same one everywhere).
-
-Subsets of the lexicon are drawn at random (by hash of the term) at several
-densities, DENSITIES: of a density 1/d, CLASSES subsets hold about 1/d of the
-lexicon each. A fingerprint lists, for each subset that a text has terms of,
-the hash of those terms in sorted order, as `cchhhhhhhh` (subset, hash). Two
-fingerprints' likeness is the share of equal entries among the subsets that
-either has terms of, at the density where that share is highest (densities with
-fewer than LEAST such subsets count only if no other is left).
-
-Cases: null text is empty; a text with fewer than LEAST_TERMS lexicon terms is
-fingerprinted by all its terms; without terms, by a hash of the text itself
-under subset `~~`; equal texts have equal fingerprints; one document alone is
-its own next; rows that share a doc_id follow each other in text order; an
-empty table gives an empty result; other columns are not read.
+with an average of a distinct terms a document, it holds at most a / low terms,
+however many documents there are. Texts keep their lexicon terms, told by a
+constant cuckoo table of 64-bit term hashes: a term stands at one of its two
+places or is not of the lexicon.
+
+The lexicon's subsets are drawn at random (by hash of the term) at several
+levels: of level k, CLASSES subsets each hold one in 4**k of all terms. A text
+of m lexicon terms is fingerprinted at the level of the largest 4**k <= m and at
+the next, so its subsets hold about 4 terms to a quarter of one, and two texts
+have a level in common unless one has over 4 times the other's terms. A
+fingerprint lists, for each subset that a text has terms of, the hash of those
+terms in sorted order, as `kchhhhhhhh` (level, subset, hash). Two fingerprints'
+likeness is the share of equal entries among the subsets that either has terms
+of, at the common level where that share is highest.
+
+Cases: null text is empty; a text without lexicon terms is fingerprinted by a
+hash of itself, under `~~`, and is like equal texts alone; equal texts have
+equal fingerprints; very long texts have no more entries than others; documents
+follow each other by doc_id, null ones first, rows of one doc_id by a hash of
+their text; one document alone is its own next; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ from .store import Workspace, power_of_two
 
 #: Bounds of a lexicon term's document frequency, as shares of all documents.
 LOW, HIGH = 0.001, 0.05
-BITS = 20
-DENSITIES = (8, 32, 128, 512)
-CLASSES = 32
-LEAST, LEAST_TERMS = 6, 4
-#: Documents whose successors are found in one task, at the most likely.
-RUN = 256
+CLASSES = 16
+#: Documents whose successors are found in one task, at the most likely; runs are at most MOST_RUNS.
+RUN, MOST_RUNS = 256, 1 << 16
+#: A doc_id of many documents (null, for one) is split into so many runs.
+SPLIT = 256
 
-_SUBSETS = "0123456789abcdefghijklmnopqrstuv"
+_LEVELS = "abcdefghijklmnop"
+_SUBSETS = "0123456789abcdef"
 
 
 def terms(text: Column) -> Column:
@@ -48,113 +51,129 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.expr("xxhash64('')"))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
-    """A constant array of 2**(BITS - 6) longs whose bits mark the terms of the band, by hash.
-
-    At most that many numbers come to the driver, whatever the corpus.
-    """
+def cuckoo(keys: list[int]) -> list[int]:
+    """A table of a power of two places in which every key stands at its low or at its high bits; 0 marks an empty place."""
+    size = power_of_two(3 * len(keys) + 2, 4, 1 << 30)
+    while True:
+        table, placed = [0] * size, True
+        for key in keys:
+            at = key & (size - 1)
+            for _ in range(500):
+                key, table[at] = table[at], key
+                if not key:
+                    break
+                low = key & (size - 1)
+                at = ((key >> 32) & (size - 1)) if at == low else low
+            else:
+                placed = False
+                break
+        if placed:
+            return table
+        size *= 2
+
+
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> tuple[Column, int]:
+    """The band's terms as a constant cuckoo table, and its number of places. At most (distinct terms a document) / low numbers come to the driver."""
     n = docs.count()
     seen = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    band = seen.where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
-    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(t, {64 - BITS}) & 63 AS INT))")
-    marked = band.groupBy(F.shiftrightunsigned("t", 64 - BITS + 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
-    words = [0] * (1 << (BITS - 6))
-    for r in marked.collect():
-        words[r["w"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-
-def in_lexicon(found: Column, marks: Column) -> Column:
-    """A text's terms of the lexicon; all its terms where these are too few."""
-    word = lambda h: F.element_at(marks, (F.shiftrightunsigned(h, 64 - BITS + 6) + 1).cast("int"))
-    bit = lambda h: F.shiftrightunsigned(h, 64 - BITS).bitwiseAND(F.lit(63)).cast("int")
-    return F.filter(found, lambda h: F.getbit(word(h), bit(h)) == 1)
-
-
-def placed_terms(used: Column) -> Column:
-    """(subset, term) of every subset that holds a term, sorted."""
-
-    def entries(h: Column) -> Column:
-        out = []
-        for k, d in enumerate(DENSITIES):
-            # an independent hash a density picks the subset, if below CLASSES
-            pick = F.pmod(F.shiftrightunsigned(F.xxhash64(h, F.lit(k)), 20), F.lit(d))
-            out.append(F.struct(F.when(pick < CLASSES, pick + k * CLASSES).cast("int").alias("s"), h.alias("h")))
-        return F.array(*out)
+    band = seen.where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)) & (F.col("t") != 0))
+    table = cuckoo(sorted(r["t"] for r in band.select("t").collect()))
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), len(table)
 
-    return F.array_sort(F.filter(F.flatten(F.transform(used, entries)), lambda e: e["s"].isNotNull()))
 
+def in_lexicon(found: Column, marks: tuple[Column, int]) -> Column:
+    """A text's terms of the lexicon, sorted."""
+    table, size = marks
+    at = lambda bits: F.element_at(table, bits.bitwiseAND(F.lit(size - 1)).cast("int") + 1)
+    return F.array_sort(F.filter(found, lambda h: (at(h) == h) | (at(F.shiftright(h, 32)) == h)))
 
-def digest(placed: Column) -> Column:
-    """Subset and hash of its sorted terms, for each subset in order."""
-    names = F.array(*[F.lit(a + b) for a in "ABCD" for b in _SUBSETS])
-    empty = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("r"), F.lit("").alias("out"))
 
-    def shown(a: Column) -> Column:
-        code = F.right(F.concat(F.lit("0000000"), F.lower(F.hex(a["r"].bitwiseAND(F.lit(0xFFFFFFFF))))), F.lit(8))
-        return F.when(a["s"] < 0, a["out"]).otherwise(F.concat(a["out"], F.element_at(names, a["s"] + 1), code, F.lit(" ")))
+def level_entries(used: Column, level: Column) -> Column:
+    """The entries of one level: for each subset the hash of its terms, which come sorted."""
+    share = F.call_function("shiftleft", F.lit(1).cast("long"), level * 2)
+    subset = lambda h: F.pmod(F.xxhash64(h, level), share)
+    # the subset takes the place of a term's four last bits
+    inside = F.transform(F.filter(used, lambda h: subset(h) < CLASSES), lambda h: F.shiftleft(F.shiftright(h, 4), 4) + subset(h))
+    of = lambda c: lambda e: e.bitwiseAND(F.lit(CLASSES - 1)) == c
+    groups = F.array(*[F.filter(inside, of(c)) for c in range(CLASSES)])
+    name = F.substring(F.lit(_LEVELS), level + 1, F.lit(1))
 
-    def step(a: Column, e: Column) -> Column:
-        same = a["s"] == e["s"]
-        return F.struct(
-            e["s"].alias("s"),
-            F.xxhash64(F.when(same, a["r"]).otherwise(F.lit(0).cast("long")), e["h"]).alias("r"),
-            F.when(same, a["out"]).otherwise(shown(a)).alias("out"),
-        )
+    def shown(group: Column, c: Column) -> Column:
+        code = F.right(F.concat(F.lit("0000000"), F.lower(F.hex(F.xxhash64(group).bitwiseAND(F.lit(0xFFFFFFFF))))), F.lit(8))
+        return F.when(F.size(group) > 0, F.concat(name, F.substring(F.lit(_SUBSETS), c + 1, F.lit(1)), code))
 
-    return F.rtrim(F.aggregate(placed, empty, step, shown))
+    return F.array_compact(F.transform(groups, shown))
 
 
-def fingerprints(rows: DataFrame, marks: Column, texts: dict[str, str]) -> DataFrame:
+def fingerprints(rows: DataFrame, marks: tuple[Column, int], texts: dict[str, str]) -> DataFrame:
     """Adds a fingerprint column for each text column (out: text column), which it takes away.
 
     One projection a step, so that no step is worked out twice.
     """
     rest = [c for c in rows.columns if c not in texts.values()]
-    rows = rows.select(*rest, *[terms(F.coalesce(t, F.lit(""))).alias(o) for o, t in texts.items()], *[F.hex(F.xxhash64(F.coalesce(t, F.lit("")))).alias(f"_{o}") for o, t in texts.items()])
-    codes = [f"_{o}" for o in texts]
-    rows = rows.select(*rest, *codes, *[F.struct(F.col(o).alias("all"), in_lexicon(F.col(o), marks).alias("some")).alias(o) for o in texts])
-    rows = rows.select(*rest, *codes, *[F.when(F.size(f"{o}.some") >= LEAST_TERMS, F.col(f"{o}.some")).otherwise(F.col(f"{o}.all")).alias(o) for o in texts])
-    rows = rows.select(*rest, *codes, *[placed_terms(F.col(o)).alias(o) for o in texts])
-    rows = rows.select(*rest, *codes, *[digest(F.col(o)).alias(o) for o in texts])
-    return rows.select(*rest, *[F.when(F.col(o) == "", F.concat(F.lit("~~"), F.right(F.col(f"_{o}"), F.lit(8)))).otherwise(F.col(o)).alias(o) for o in texts])
+    codes = [F.concat(F.lit("~~"), F.right(F.concat(F.lit("0000000"), F.hex(F.xxhash64(F.coalesce(t, F.lit(""))))), F.lit(8))).alias(f"_{o}") for o, t in texts.items()]
+    rows = rows.select(*rest, *codes, *[terms(F.coalesce(t, F.lit(""))).alias(o) for o, t in texts.items()])
+    kept = lambda f: rows.select(*rest, *[f"_{o}" for o in texts], *[f(o).alias(o) for o in texts])
+    rows = kept(lambda o: in_lexicon(F.col(o), marks))
+    rows = kept(lambda o: F.struct(F.col(o).alias("terms"), F.floor((F.length(F.bin(F.size(o))) - 1) / 2).cast("int").alias("level")))
+    rows = kept(lambda o: F.array_join(F.concat(level_entries(F.col(f"{o}.terms"), F.col(f"{o}.level")), level_entries(F.col(f"{o}.terms"), F.col(f"{o}.level") + 1)), " "))
+    return rows.select(*rest, *[F.when(F.col(o) == "", F.col(f"_{o}")).otherwise(F.col(o)).alias(o) for o in texts])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal entries of two fingerprints at their best density, 0 to 1."""
+    """Share of equal entries of two fingerprints at their best common level, 0 to 1."""
     x, y = F.split(a, " "), F.split(b, " ")
-    shares = []
-    for mark in ("A", "B", "C", "D", "~"):
-        here = lambda v, mark=mark: F.filter(v, lambda e: F.startswith(e, F.lit(mark)))
-        both = F.size(F.array_intersect(here(x), here(y)))
-        subsets = lambda v: F.transform(here(v), lambda e: F.substring(e, 1, 2))
-        either = F.size(F.array_union(subsets(x), subsets(y)))
-        shares.append(F.struct((either >= LEAST).alias("full"), F.when(either > 0, both / either).otherwise(F.lit(0.0)).alias("share")))
-    full = F.filter(F.array(*shares), lambda s: s["full"])
-    chosen = F.when(F.size(full) > 0, full).otherwise(F.array(*shares))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.array_max(F.transform(chosen, lambda s: s["share"])))
+    levels = lambda v: F.array_distinct(F.transform(v, lambda e: F.left(e, F.lit(1))))
+
+    def share(level: Column) -> Column:
+        here = lambda v: F.filter(v, lambda e: F.startswith(e, level))
+        subsets = lambda v: F.transform(here(v), lambda e: F.left(e, F.lit(2)))
+        return F.size(F.array_intersect(here(x), here(y))) / F.size(F.array_union(subsets(x), subsets(y)))
+
+    common = F.array_intersect(levels(x), levels(y))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(common, share)), F.lit(0.0)))
+
+
+def _run(docs: DataFrame) -> Column:
+    """Ascending numbers of runs of consecutive documents, about RUN in each, whatever the spread of their ids.
+
+    Runs lie between quantiles of doc_id, found by binary search. An id that two quantiles share holds many
+    documents, as null may: its run is split by the hash that puts them in order.
+    """
+    n = docs.count()
+    runs = power_of_two(n / RUN, 1, MOST_RUNS)
+    shares = [k / runs for k in range(1, runs)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, min(16 * runs, 1 << 20))).first()[0] if shares else None
+    bounds = sorted(found or [])
+    bounds += [(1 << 63) - 1] * (runs - len(bounds))
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(runs.bit_length() - 1))]) if runs > 1 else F.lit([]).cast("array<int>")
+    at = F.col("doc_id").cast("long")
+    place = F.aggregate(steps, F.lit(0), lambda a, step: F.when(F.element_at(table, a + step) <= at, a + step).otherwise(a))
+    many = sorted({a for a, b in zip(bounds, bounds[1:], strict=False) if a == b})
+    split = F.col("doc_id").isNull() | (at.isin(many) if many else F.lit(False))
+    part = F.when(split, F.shiftrightunsigned("h", 64 - SPLIT.bit_length() + 1)).otherwise(F.lit(0).cast("long"))
+    return F.coalesce(place, F.lit(-1)) * F.lit(2 * SPLIT).cast("long") + part
 
 
 def _runs(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text, run, place, next_text) and what follows each run (run, first_text).
 
-    Documents are dealt into runs of consecutive ids, one shuffle of the texts.
-    next_text is null for the last of a run; the first of the next run that is
-    not empty follows it, and the first of all follows the last.
+    Documents are dealt into runs, one shuffle of the texts. next_text is null
+    for the last of a run; the first of the next run that is not empty follows
+    it, and the first of all follows the last.
     """
-    span = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    low, high = span["a"] or 0, span["b"] or 0
-    # at most 2**16 runs, whose first rows are put in order in one task
-    width = -(-(high - low + 1) // power_of_two(span["n"] / RUN, 1, 1 << 16))
-    run = F.coalesce(F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / width).cast("long"), F.lit(-1).cast("long"))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run.alias("run"))
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # as unsigned numbers, hashes are in the order of their first bits
+    dealt = dealt.withColumn("h", F.xxhash64("text")).select("*", _run(docs).alias("run"), F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("o"))
     ws = Workspace(spark, "next")
-    heads = ws.put(dealt.groupBy("run").agg(F.min(F.struct("doc_id", "text")).alias("head")), "heads")
+    heads = ws.put(dealt.groupBy("run").agg(F.min(F.struct("doc_id", "o", "text")).alias("head")).select("run", F.col("head.text").alias("text")), "heads")
     first = heads.agg(F.min("run")).first()[0]
+    # one small row a run, at most MOST_RUNS and SPLIT for each of at most as many ids of many documents
     after = F.coalesce(F.lead("run").over(W.orderBy("run")), F.lit(first))
-    follow = heads.select("run", after.alias("after")).join(heads.select(F.col("run").alias("after"), F.col("head.text").alias("first_text")), "after")
-    order = W.partitionBy("run").orderBy("doc_id", "text")
-    rows = dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
+    follow = heads.select("run", after.alias("after")).join(heads.select(F.col("run").alias("after"), F.col("text").alias("first_text")), "after")
+    order = W.partitionBy("run").orderBy("doc_id", "o", "text")
+    rows = dealt.select("run", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
     return rows, ws.put(follow.select("run", "first_text"), "follow")
 
 

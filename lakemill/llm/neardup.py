@@ -193,15 +193,17 @@ def _links(ws: Workspace, docs: DataFrame, classes: DataFrame, families: DataFra
     diffs = ws.put(based.withColumn("d", F.size("diff").cast("long")).withColumn("v", v), "diffs")
     ws.drop(texts)
 
-    least = diffs.groupBy("family").agg(F.min("v").alias("v0"))
+    total = diffs.count()
+    least = ws.put(diffs.groupBy("family").agg(F.min("v").alias("v0"), F.count("*").alias("many")), "least")
     core = F.col("v") + F.col("v0") <= 0
-    outer = F.min(F.when(~core, F.col("v")))
-    least = ws.put(diffs.join(least, "family").groupBy("family").agg(F.first("v0").alias("v0"), outer.alias("w"), F.min(F.when(core, F.col("doc"))).alias("label"), F.count("*").alias("many")), "least")
-    whole = join_hot(diffs.select("family", "doc", "v"), least, ["family"], "many", diffs.count())
+    whole = join_hot(diffs.select("family", "doc", "v"), least, ["family"], "many", total)
+    beyond = whole.groupBy("family").agg(F.first("v0").alias("v0"), F.min(F.when(~core, F.col("v"))).alias("w"), F.min(F.when(core, F.col("doc"))).alias("label"), F.count("*").alias("many"))
+    beyond = ws.put(beyond, "beyond")
+    whole = join_hot(diffs.select("family", "doc", "v"), beyond, ["family"], "many", total)
     cored = ws.put(whole.where(core).select("doc", "label"), "core")
 
     # documents of families with any beyond the core, their differences placed rarest first
-    open_ = ws.put(join_hot(diffs, least.where("w IS NOT NULL"), ["family"], "many", diffs.count()).withColumn("core", core), "open")
+    open_ = ws.put(join_hot(diffs, beyond.where("w IS NOT NULL"), ["family"], "many", total).withColumn("core", core), "open")
     rare = F.when(F.col("usual"), F.col("many") - F.col("c")).otherwise(F.col("c"))
     rarity = ws.put(count.select("family", "h", rare.alias("f")).where("f > 1").withColumn("many", F.col("f")), "rarity")
     single = open_.select("family", "doc", "n", "d", "v", "v0", "w", "core", F.explode("diff").alias("h"))
