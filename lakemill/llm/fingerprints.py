@@ -82,27 +82,40 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> tuple[Colu
 
 
 def in_lexicon(found: Column, marks: tuple[Column, int]) -> Column:
-    """A text's terms of the lexicon, sorted."""
+    """The lexicon terms, sorted, of each of several texts. The table is bound by a lambda, so that a plan holds it once."""
     table, size = marks
-    at = lambda bits: F.element_at(table, bits.bitwiseAND(F.lit(size - 1)).cast("int") + 1)
-    return F.array_sort(F.filter(found, lambda h: (at(h) == h) | (at(F.shiftright(h, 32)) == h)))
 
+    def kept(table: Column) -> Column:
+        at = lambda bits: F.element_at(table, bits.bitwiseAND(F.lit(size - 1)).cast("int") + 1)
+        return F.transform(found, lambda f: F.array_sort(F.filter(f, lambda h: (at(h) == h) | (at(F.shiftright(h, 32)) == h))))
 
-def level_entries(used: Column, level: Column) -> Column:
-    """The entries of one level: for each subset the hash of its terms, which come sorted."""
-    share = F.call_function("shiftleft", F.lit(1).cast("long"), level * 2)
-    subset = lambda h: F.pmod(F.xxhash64(h, level), share)
-    # the subset takes the place of a term's four last bits
-    inside = F.transform(F.filter(used, lambda h: subset(h) < CLASSES), lambda h: F.shiftleft(F.shiftright(h, 4), 4) + subset(h))
-    of = lambda c: lambda e: e.bitwiseAND(F.lit(CLASSES - 1)) == c
-    groups = F.array(*[F.filter(inside, of(c)) for c in range(CLASSES)])
-    name = F.substring(F.lit(_LEVELS), level + 1, F.lit(1))
+    return F.flatten(F.transform(F.array(table), kept))
 
-    def shown(group: Column, c: Column) -> Column:
-        code = F.right(F.concat(F.lit("0000000"), F.lower(F.hex(F.xxhash64(group).bitwiseAND(F.lit(0xFFFFFFFF))))), F.lit(8))
-        return F.when(F.size(group) > 0, F.concat(name, F.substring(F.lit(_SUBSETS), c + 1, F.lit(1)), code))
 
-    return F.array_compact(F.transform(groups, shown))
+def entries(used: Column) -> Column:
+    """The entries of a text's two levels: for each subset the hash of its terms, which come sorted.
+
+    What lambdas use is bound by lambdas (arrays of one element), or it would be worked out at every use."""
+    level = F.floor((F.length(F.bin(F.size(used))) - 1) / 2).cast("int")
+    share = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k * 2)
+    levels = F.array(*[F.struct(k.alias("k"), share(k).alias("share"), F.substring(F.lit(_LEVELS), k + 1, F.lit(1)).alias("name")) for k in (level, level + 1)])
+
+    def of(subset: Column) -> object:
+        return lambda e: e.bitwiseAND(F.lit(CLASSES - 1)) == subset
+
+    def at(level: Column) -> Column:
+        # the subset takes the place of a term's four last bits
+        placed = F.transform(used, lambda h: F.struct(h.alias("h"), F.pmod(F.xxhash64(h, level["k"]), level["share"]).alias("s")))
+        inside = F.transform(F.filter(placed, lambda e: e["s"] < CLASSES), lambda e: F.shiftleft(F.shiftright(e["h"], 4), 4) + e["s"])
+        groups = F.flatten(F.transform(F.array(inside), lambda x: F.array(*[F.filter(x, of(c)) for c in range(CLASSES)])))
+
+        def shown(group: Column, c: Column) -> Column:
+            code = F.right(F.concat(F.lit("0000000"), F.lower(F.hex(F.xxhash64(group).bitwiseAND(F.lit(0xFFFFFFFF))))), F.lit(8))
+            return F.when(F.size(group) > 0, F.concat(level["name"], F.substring(F.lit(_SUBSETS), c + 1, F.lit(1)), code))
+
+        return F.array_compact(F.transform(groups, shown))
+
+    return F.flatten(F.transform(levels, at))
 
 
 def fingerprints(rows: DataFrame, marks: tuple[Column, int], texts: dict[str, str]) -> DataFrame:
@@ -111,13 +124,13 @@ def fingerprints(rows: DataFrame, marks: tuple[Column, int], texts: dict[str, st
     One projection a step, so that no step is worked out twice.
     """
     rest = [c for c in rows.columns if c not in texts.values()]
-    codes = [F.concat(F.lit("~~"), F.right(F.concat(F.lit("0000000"), F.hex(F.xxhash64(F.coalesce(t, F.lit(""))))), F.lit(8))).alias(f"_{o}") for o, t in texts.items()]
-    rows = rows.select(*rest, *codes, *[terms(F.coalesce(t, F.lit(""))).alias(o) for o, t in texts.items()])
-    kept = lambda f: rows.select(*rest, *[f"_{o}" for o in texts], *[f(o).alias(o) for o in texts])
-    rows = kept(lambda o: in_lexicon(F.col(o), marks))
-    rows = kept(lambda o: F.struct(F.col(o).alias("terms"), F.floor((F.length(F.bin(F.size(o))) - 1) / 2).cast("int").alias("level")))
-    rows = kept(lambda o: F.array_join(F.concat(level_entries(F.col(f"{o}.terms"), F.col(f"{o}.level")), level_entries(F.col(f"{o}.terms"), F.col(f"{o}.level") + 1)), " "))
-    return rows.select(*rest, *[F.when(F.col(o) == "", F.col(f"_{o}")).otherwise(F.col(o)).alias(o) for o in texts])
+    plain = [F.coalesce(t, F.lit("")) for t in texts.values()]
+    code = lambda t: F.concat(F.lit("~~"), F.right(F.concat(F.lit("0000000"), F.hex(F.xxhash64(t))), F.lit(8)))
+    rows = rows.select(*rest, F.array(*[code(t) for t in plain]).alias("_codes"), F.array(*[terms(t) for t in plain]).alias("_terms"))
+    rows = rows.select(*rest, "_codes", in_lexicon(F.col("_terms"), marks).alias("_terms"))
+    rows = rows.select(*rest, "_codes", F.transform("_terms", lambda t: F.array_join(entries(t), " ")).alias("_entries"))
+    shown = lambda k: F.when(F.col("_entries")[k] == "", F.col("_codes")[k]).otherwise(F.col("_entries")[k])
+    return rows.select(*rest, *[shown(k).alias(o) for k, o in enumerate(texts)])
 
 
 def likeness(a: Column, b: Column) -> Column:
