@@ -7,17 +7,19 @@ import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DecimalType
 
-from .errors import BindingError, ExecutionError, SqlError
-from .plans.dialect import Statement, check_tree, rewrite, tokenise
-from .plans.types import check_types
+from .errors import BindingError, ExecutionError
+from .plans.dialect import Statement, check_tree, divisions, guard_scalars, keep_sums, rewrite, tokenise
+from .plans.types import check_types, sums_decimals
+from .session import SEMANTICS
 from .sources import READERS
 from .sources.lakehouse import UnityCatalog
 
 
 @dataclass
 class QueryStats:
-    """What a run measured; None was not measured."""
+    """What a run measured: result rows, and what its scans read."""
 
     rows: int | None = None
     files_read: int | None = None
@@ -26,11 +28,21 @@ class QueryStats:
     seconds: float | None = None
 
 
+def _with_semantics(spark: SparkSession) -> SparkSession:
+    """The session where it has the settings that the dialect rests on, else a clone of it that has them; the given one is left as it is."""
+    if all((spark.conf.get(k, None) or "").lower() == v.lower() for k, v in SEMANTICS.items()):
+        return spark
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in SEMANTICS.items():
+        own.conf.set(key, value)
+    return own
+
+
 class Engine:
     """Runs the dialect on a session. `root` confines local paths."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, unity: dict[str, UnityCatalog] | None = None):
-        self.spark, self.root, self.unity = spark, root, unity
+        self.spark, self.root, self.unity = _with_semantics(spark), root, unity
 
     def _sources(self, statement: Statement) -> dict[str, DataFrame]:
         out = {}
@@ -59,21 +71,28 @@ class Engine:
         frame = self._bind(statement.sql, sources)
         if not strict:
             return frame
-        decimals = check_types(self.spark, frame)
-        return self._integer_division(statement.sql, sources, frame, decimals)
-
-    def _integer_division(self, sql: str, sources: dict[str, DataFrame], frame: DataFrame, decimals: int) -> DataFrame:
+        tokens = statement.tokens
+        if sums_decimals(self.spark, frame):
+            tokens = keep_sums(tokens, lambda query: self._decimal(query, sources))
+            frame = self._bind(" ".join(tokens), sources)
+        met = check_types(self.spark, frame)
+        tokens = guard_scalars(self._integer_division(tokens, sources, met.integer_divisions_of_decimals))
+        return frame if tokens == statement.tokens else self._bind(" ".join(tokens), sources)
+
+    def _integer_division(self, tokens: list[str], sources: dict[str, DataFrame], decimals: int) -> list[str]:
         """Each `/` whose operands are integers divides as integers: where DIV binds, and not over decimals, it stands."""
-        parts = re.split(r"( / )", sql)
-        for k in range(1, len(parts), 2):
-            tried = [*parts[:k], " DIV ", *parts[k + 1 :]]
+        for k in divisions(tokens):
+            tried = [*tokens[:k], "DIV", *tokens[k + 1 :]]
             try:
-                found = self.spark.sql("".join(tried), **sources)
-                if check_types(self.spark, found) == decimals:
-                    parts, frame = tried, found
+                if check_types(self.spark, self.spark.sql(" ".join(tried), **sources)).integer_divisions_of_decimals == decimals:
+                    tokens = tried
             except Exception:
                 continue
-        return frame
+        return tokens
+
+    def _decimal(self, query: str, sources: dict[str, DataFrame]) -> str | None:
+        kind = self._bind(query, sources).schema[0].dataType
+        return kind.simpleString() if isinstance(kind, DecimalType) else None
 
     def explain(self, text: str, logical: bool = False, form: str = "text") -> str:
         """Catalyst's optimised logical or physical plan."""
@@ -90,15 +109,31 @@ class Engine:
             table = frame.toArrow()
         except Exception as error:
             raise ExecutionError(str(error).splitlines()[0]) from error
-        stats = QueryStats(rows=table.num_rows, seconds=time.perf_counter() - began)
-        return table, stats
-
-    def scalar_subquery_rows(self, text: str) -> int:
-        """Rows of a subquery that should be a scalar; the dialect wants exactly one."""
-        n = self.sql(text).limit(2).count()
-        if n != 1:
-            raise SqlError(f"a scalar subquery gave {'no rows' if not n else 'several rows'}")
-        return n
+        files, size, scanned = scan_metrics(frame)
+        return table, QueryStats(table.num_rows, files, size, scanned, time.perf_counter() - began)
+
+
+def scan_metrics(frame: DataFrame) -> tuple[int, int, int]:
+    """Files, bytes and rows that the scans of an executed frame read, by the plan's own metrics."""
+    totals = [0, 0, 0]
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind in ("FileSourceScanExec", "BatchScanExec"):
+            for i, name in enumerate(("numFiles", "filesSize", "numOutputRows")):
+                found = node.metrics().get(name)
+                totals[i] += found.get().value() if found.isDefined() else 0
+        for part in (node.children(), node.subqueries()):
+            for i in range(part.size()):
+                walk(part.apply(i))
+        return None
+
+    walk(frame._jdf.queryExecution().executedPlan())
+    return totals[0], totals[1], totals[2]
 
 
 def stats_json(stats: QueryStats) -> str:

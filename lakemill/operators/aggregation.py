@@ -33,4 +33,6 @@ ENTRIES = {
     "sum_decimal": "SELECT l_returnflag, CAST(SUM(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS quantity FROM lineitem GROUP BY l_returnflag",
     "min_max_decimal": "SELECT l_linestatus, MIN(CAST(l_quantity AS DECIMAL(12,2))) AS low, MAX(CAST(l_quantity AS DECIMAL(12,2))) AS high FROM lineitem GROUP BY l_linestatus",
     "min_max_boolean": "SELECT p_brand, MIN(p_size > 25) AS all_large, MAX(p_size > 25) AS any_large FROM part GROUP BY p_brand",
+    "sum_decimal_scalar": "SELECT CAST(SUM(CAST(l_tax AS DECIMAL(14,3))) AS DECIMAL(14,3)) AS tax, COUNT(*) AS n FROM lineitem",
+    "sum_decimal_having": "SELECT l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag HAVING CAST(SUM(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(12,2)) > CAST(100 AS DECIMAL(12,2))",
 }

@@ -30,4 +30,10 @@ ENTRIES = {
     "like_in_select": "SELECT p_partkey, p_name LIKE '%gadget%' AS is_gadget FROM part",
     "boolean_in_select": "SELECT p_partkey, p_size > 10 AND p_size < 20 AS middle, NOT (p_size = 1) AS more FROM part",
     "null_comparison": "SELECT p_partkey, (CASE WHEN p_size > 25 THEN p_size END) = 30 AS thirty FROM part",
+    "literal_strings": r"SELECT n_nationkey, 'a / b' AS slash, 'it''s' AS quote, 'C:\new\\' AS backslash, 'read_parquet(''x'') -- no comment' AS call FROM nation",
+    "filter_string_with_slash": "SELECT n_nationkey FROM nation WHERE n_name <> 'a / b' AND n_name <> 'a DIV b'",
+    "like_backslash": r"SELECT n_nationkey, 'a\b_c' LIKE 'a\b%' AS plain, n_name LIKE '\%' AS none FROM nation",
+    "like_null": "SELECT p_partkey, (CASE WHEN p_size > 25 THEN p_name END) LIKE '%widget%' AS is_widget FROM part",
+    "int_div_of_literals": "SELECT n_nationkey, {7 // 2} AS three, {(0 - 7) // 2} AS minus_three, {n_nationkey // 2} AS half, n_nationkey / 2e0 AS real_half FROM nation",
+    "int_div_in_aggregate": "SELECT p_brand, {SUM(p_size) // COUNT(*)} AS mean_size, ROUND(SUM(p_retailprice) / COUNT(*), 6) AS mean_price FROM part GROUP BY p_brand",
 }

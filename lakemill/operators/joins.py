@@ -13,6 +13,7 @@ ENTRIES = {
     "join_same_named_columns": "SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_regionkey",
     "join_unqualified_unique": "SELECT o_orderkey, c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_totalprice > 200000e0",
     "join_null_keys": f"SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM {_SIDES} a JOIN {_SIDES} b ON a.k = b.k",
+    "join_null_keys_unique_side": "SELECT p.p_partkey, n.n_name FROM (SELECT CASE WHEN p_size <= 24 THEN p_size END AS k, p_partkey FROM part) p JOIN (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey END AS k, n_name FROM nation) n ON p.k = n.k",
     "join_empty_side": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN (SELECT * FROM customer WHERE 1 = 0) c ON o.o_custkey = c.c_custkey",
     "join_duplicate_keys": "SELECT COUNT(*) AS pairs FROM part a JOIN part b ON a.p_size = b.p_size",
     "join_group_order_limit": "SELECT c.c_mktsegment, COUNT(*) AS n, ROUND(SUM(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment ORDER BY n DESC NULLS FIRST, c_mktsegment ASC NULLS LAST LIMIT 3",

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from ..sources import read_parquet
 from . import Entry
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/scan-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "scan")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,7 @@ def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hive_date_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_day(spark, sf_dir).where("day < DATE '1995-01-11'")
+    return _by_day(spark, sf_dir)
 
 
 ENTRIES = {
@@ -74,5 +72,5 @@ ENTRIES = {
     "recursive_scan": Entry(recursive_scan, "SELECT o_orderkey, o_custkey FROM orders"),
     "hive_partitioned_scan": Entry(hive_partitioned_scan, "SELECT o_orderkey, o_totalprice, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS order_year, o_orderstatus FROM orders"),
     "hive_partition_pruning": Entry(hive_partition_pruning, "SELECT o_orderkey, CAST(1997 AS BIGINT) AS order_year FROM orders WHERE o_orderstatus = 'F' AND EXTRACT(YEAR FROM o_orderdate) = 1997"),
-    "hive_date_partition": Entry(hive_date_partition, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-11'"),
+    "hive_date_partition": Entry(hive_date_partition, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders"),
 }

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+from .errors import ConfigurationError
+
 #: Settings that the dialect's semantics rest on.
 SEMANTICS = {
     "spark.sql.ansi.enabled": "true",
@@ -38,3 +42,20 @@ def build_session(app: str = "lakemill", master: str | None = None, **settings:
     for key, value in (EXECUTION | SEMANTICS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder under `spark.checkpoint.dir`, which driver and executors share; it goes when the driver ends.
+
+    Only a local session (one machine) may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    at = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{at}/table"

@@ -88,12 +88,6 @@ def _hive_type(values: list[str]) -> T.DataType:
     return T.DateType()
 
 
-def _base(files: list[str], keys: list[str]) -> str:
-    """The directory above the partition directories."""
-    parts = files[0].rsplit("/", len(keys) + 1)
-    return parts[0]
-
-
 def check_schemas(spark: SparkSession, files: list[str]) -> None:
     """All files must have one schema: names, order and types. Footers are read by the executors, every file's."""
     if len(files) < 2:
@@ -121,7 +115,7 @@ def read_parquet(spark: SparkSession, *paths: str, root: str | None = None, stri
     if strict:
         check_schemas(spark, files)
     if not keys:
-        return spark.read.option("recursiveFileLookup", "true").parquet(*(paths if all(not re.search(r"[*?]", p) for p in paths) else files))
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*(paths if all(not re.search(r"[*?]", p) for p in paths) else files))
     types = {k: _hive_type([x[i][1] for x in layout]) for i, k in enumerate(keys)}
     own = spark.read.option("recursiveFileLookup", "true").parquet(files[0]).schema
     clash = set(own.names) & set(keys)

@@ -104,3 +104,43 @@ def test_engine_semantics(spark, data, tmp_path):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def _engine(spark):
+    from lakemill.api import Engine
+
+    return Engine(spark)
+
+
+def test_the_given_session_keeps_its_settings(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.caseSensitive", "spark.sql.orderByOrdinal")}
+    engine = _engine(spark)
+    assert engine.spark.conf.get("spark.sql.caseSensitive") == "true"
+    assert {k: spark.conf.get(k) for k in before} == before
+
+
+def test_strings_as_written(spark, data):
+    nation = f"read_parquet('{data}/nation.parquet')"
+    row = _engine(spark).sql(rf"SELECT 'a / b' AS s, 'it''s' AS q, 'C:\new' AS p, 6 / 4 AS d FROM {nation} LIMIT 1").first()
+    assert tuple(row) == ("a / b", "it's", "C:\\new", 1)
+
+
+def test_decimal_sums_keep_their_type(spark, data):
+    lineitem = f"read_parquet('{data}/lineitem.parquet')"
+    text = f"""SELECT l_returnflag, SUM(CAST(l_quantity AS DECIMAL(12,2))) AS s, SUM(l_linenumber) AS n FROM {lineitem} GROUP BY l_returnflag
+        HAVING SUM(CAST(l_tax AS DECIMAL(14,3))) > (SELECT MIN(CAST(l_tax AS DECIMAL(14,3))) FROM {lineitem})"""
+    assert [f.dataType.simpleString() for f in _engine(spark).sql(text).schema] == ["string", "decimal(12,2)", "bigint"]
+
+
+def test_a_scalar_subquery_gives_one_row(spark, data):
+    part = f"read_parquet('{data}/part.parquet')"
+    text = "SELECT p_brand, COUNT(*) AS n FROM {0} GROUP BY p_brand HAVING COUNT(*) > (SELECT p_size FROM {0} WHERE p_partkey {1})"
+    assert _engine(spark).sql(text.format(part, "= 1")).count() >= 0
+    for condition in ("< 0", "< 3"):
+        with pytest.raises(Exception, match="scalar subquery"):
+            _engine(spark).sql(text.format(part, condition)).collect()
+
+
+def test_run_reports_what_was_read(spark, data):
+    table, stats = _engine(spark).run(f"SELECT n_name FROM read_parquet('{data}/nation.parquet') WHERE n_nationkey < 5")
+    assert table.num_rows == stats.rows == 5 and stats.files_read == 1 and stats.bytes_read > 0 and stats.rows_scanned == 25 and stats.seconds > 0
