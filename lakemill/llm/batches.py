@@ -26,3 +26,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
 def combined(batch: pa.RecordBatch, column: str) -> pa.Array:
     found = batch.column(column)
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no other column has, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

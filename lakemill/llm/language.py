@@ -253,7 +253,7 @@ def train(spark: SparkSession, rows: DataFrame, per_language: int = PER_LANGUAGE
     return Model(languages, idf, weights, bias, fit_temperature(logits, y[held]))
 
 
-def _predictor(model):
+def _predictor(model, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in text_slices(batches):
@@ -261,20 +261,25 @@ def _predictor(model):
             names = [c for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())],
-                [*names, "lang_pred", "lang_score"],
+                [*names, *added],
             )
 
     return run
 
 
-def identify(spark: SparkSession, docs: DataFrame, learnable: Column, *, columns: list[str] | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The given columns (text among them) with lang_pred and lang_score. Learns from rows where `learnable` holds."""
+def identify(
+    spark: SparkSession, docs: DataFrame, learnable: Column, *, columns: list[str] | None = None, per_language: int = PER_LANGUAGE, added: tuple[str, str] = ("lang_pred", "lang_score")
+) -> DataFrame:
+    """The given columns (text among them) with the predicted language and its score, which replace columns of the names `added`.
+
+    Learns from rows where `learnable` holds."""
     from pyspark.sql import types as T
 
     model = spark.sparkContext.broadcast(train(spark, docs.where(learnable).select("doc_id", "text", "lang"), per_language))
-    kept = docs.select(*(columns or docs.columns))
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return kept.mapInArrow(_predictor(model), schema)
+    taken = {c.lower() for c in added}
+    kept = docs.select(*[c for c in columns or docs.columns if c.lower() not in taken])
+    schema = T.StructType([*kept.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
+    return kept.mapInArrow(_predictor(model, list(added)), schema)
 
 
 def fold(modulus: int) -> Column:

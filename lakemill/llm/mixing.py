@@ -7,7 +7,8 @@ total budget is spent gives each source its weighted share; a source that has
 been repeated `max_repeats` times is exhausted and the others go on at the same
 relative rates. The stop falls at one virtual time for all sources, so a
 document is taken when it finishes before the stop, and the one document of a
-source that the stop falls into is taken in part.
+source that the stop falls into is taken in part. Sources, as rows, are put in
+order in one task: tens of thousands are no burden, one for each document is.
 
 Cases: null source is a source of its own, ordered last; null text has size 0;
 repeated rows are separate documents of equal rank, ordered by a second hash
@@ -82,8 +83,8 @@ def plan_mix(
     `row` names a column with a distinct BIGINT for each row, which the plan
     then carries; it settles ties and places rows whose doc_id is null.
 
-    `taken` counts words, repeats included: full passes over the source, then
-    the part of a last pass that ends at the source's target.
+    `taken` counts words, repeats included: `passes` copies that finish up to the
+    stop, then the `part` of a copy that the stop falls into.
     """
     ws = workspace or Workspace(spark, "mix")
     own = [row] if row else []
@@ -114,10 +115,13 @@ def plan_mix(
     running = W.partitionBy("skey", "cell").orderBy("shuffled", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, W.currentRow)
     cum = F.col("offset") + F.sum("size").over(running)
     placed = sized.join(offsets, ["skey", "cell"]).withColumn("cum", cum)
-    whole = F.floor("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) div source_size")).otherwise(F.lit(0)).cast("long")
-    rest = whole - passes * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("cum") - F.col("size"))))
+    # A source's stop on virtual time, times its weight, is the words that it has served by then. The k-th copy of a
+    # document finishes at (cum + k * source_size) / weight: copies up to the stop are taken, and a part of the one it falls into.
+    due = F.floor("target").cast("long")
+    finished = F.when((F.col("source_size") > 0) & (due >= F.col("cum")), F.expr("(CAST(floor(target) AS BIGINT) - cum) div source_size") + 1).otherwise(F.lit(0)).cast("long")
+    passes = F.when(F.col("size") > 0, finished).otherwise(F.lit(0)).cast("long")
+    begun = F.col("cum") - F.col("size") + passes * F.col("source_size")
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), due - begun))
     return placed.select(
         "doc_id",
         *own,
@@ -140,9 +144,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     Rows have plans of their own, whether doc_id is null, repeated or neither."""
     ws = Workspace(spark, "mixed")
-    columns = docs.columns
-    docs = ws.put(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    plan = ws.put(plan_mix(spark, docs, workspace=ws, row="_row", **options), "plan").select(
+    given = docs.columns
+    # the input's columns go by numbers inside, so that none of them clashes
+    docs = ws.put(docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(given)], F.monotonically_increasing_id().alias("_row")), "docs")
+    inside = {c: f"in_{k}" for k, c in enumerate(given)}
+    needed = docs.select("_row", *[F.col(inside[c]).alias(c) for c in ("doc_id", "source", "text")])
+    plan = ws.put(plan_mix(spark, needed, workspace=ws, row="_row", **options), "plan").select(
         F.col("_row").alias("_id"), "passes", "part", "virtual_finish", "weight", "source_size", F.col("size").alias("_size")
     )
     copies = F.col("passes") + (F.col("part") > 0).cast("long")
@@ -155,19 +162,17 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
         (F.col("virtual_finish") + F.col("_copy") * F.col("source_size") / F.col("weight")).alias("_finish"),
     )
     rows = docs.join(turns, docs["_row"] == F.col("_id"))
-    text = F.col("text")
+    text = F.col(inside["text"])
     body = F.regexp_replace(text, "^" + SEPARATORS, "")
     tail = F.element_at(F.split(body, SEPARATORS, (F.col("_words") + 1).cast("int")), -1)
     head = F.expr("rtrim(left(_body, length(_body) - length(_tail)))")
     first = rows.withColumn("_body", body).withColumn("_tail", tail)
-    text = F.when(F.col("_words").isNull(), text).otherwise(head)
-    columns = [
-        text.alias("text") if c == "text" else F.when(F.col("_words").isNull(), F.col(c)).otherwise(F.length(text)).cast("long").alias(c) if c == "n_chars" else F.col(c)
-        for c in columns
-    ]
-    out = first.select(*columns, F.col("_finish"))
+    cut_text = F.when(F.col("_words").isNull(), text).otherwise(head)
+    shown = {"text": cut_text, "n_chars": F.when(F.col("_words").isNull(), F.col(inside.get("n_chars", inside["text"]))).otherwise(F.length(cut_text)).cast("long") if "n_chars" in inside else None}
+    out = first.select(*[shown.get(c, F.col(inside[c])).alias(inside[c]) for c in given], "_finish", F.col(inside["doc_id"]).alias("_doc"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartitionByRange(parts, "_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").drop("_finish")
+    out = out.repartitionByRange(parts, "_finish", "_doc").sortWithinPartitions("_finish", "_doc")
+    return out.select(*[F.col(inside[c]).alias(c) for c in given])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import combined, text_slices
+from .batches import combined, fresh, text_slices
 from .store import Workspace
 
 #: Attempts of clashing entities that are sent to every executor; beyond that they are joined to documents.
@@ -76,6 +77,7 @@ _NAME = re.compile(
     rf"|(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))})\s+(?P<family>[^\W\d_a-z]{_WORD}+))\b"
 )
 _DIGIT = re.compile(r"\d")
+_CAPITAL = re.compile(rf"\b[^\W\d_a-z]{_WORD}+\b")
 
 #: A replaced span: start, end, kind and canonical form.
 Span = tuple[int, int, str, str]
@@ -95,8 +97,9 @@ def detect(text: str) -> list[Span]:
     found: list[Span] = []
 
     def add(a: int, b: int, kind: str, canonical: str) -> None:
-        if all(b <= x or a >= y for x, y, _, _ in found):
-            found.append((a, b, kind, canonical))
+        k = bisect(found, (a,))
+        if (k == 0 or found[k - 1][1] <= a) and (k == len(found) or found[k][0] >= b):
+            found.insert(k, (a, b, kind, canonical))
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -125,7 +128,13 @@ def detect(text: str) -> list[Span]:
             add(*m.span("last"), f"family:{_script(m['last'])}", m["last"].lower())
         else:
             add(*m.span("first"), f"family:{_script(m['first'])}", m["first"].lower())
-    return sorted(found)
+    # the names of persons that the text has introduced, where they stand alone
+    people = {text[a:b]: (kind, canonical) for a, b, kind, canonical in found if kind.startswith(("given:", "family:"))}
+    if people:
+        for m in _CAPITAL.finditer(text):
+            if m[0] in people:
+                add(*m.span(), *people[m[0]])
+    return found
 
 
 class _Stream:
@@ -154,6 +163,29 @@ def _same_classes(text: str, draw: _Stream) -> str:
     return "".join(out)
 
 
+def _permuted(text: str, key: bytes, what: str) -> str:
+    """Another text of the same classes of characters; distinct texts give distinct ones (a Feistel walk over all of them)."""
+    sizes = [10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 1 for c in text]
+    number, total = 0, 1
+    for c, size in zip(text, sizes, strict=True):
+        number, total = number * size + (int(c) if size == 10 else ord(c.lower()) - 97 if size == 26 else 0), total * size
+    half = max(1, (total - 1).bit_length() + 1 >> 1)
+    pattern = "".join({10: "0", 26: "a", 1: c}[size] for c, size in zip(text, sizes, strict=True))
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for turn in range(6):
+            mark = hmac.new(key, f"domain\x1f{what}\x1f{pattern}\x1f{turn}\x1f{right}".encode(), hashlib.sha256).digest()
+            left, right = right, left ^ int.from_bytes(mark, "big") & (1 << half) - 1
+        number = left << half | right
+        if number < total:
+            break
+    out = []
+    for c, size in zip(reversed(text), reversed(sizes), strict=True):
+        number, digit = divmod(number, size)
+        out.append(str(digit) if size == 10 else chr((97 if c.islower() else 65) + digit) if size == 26 else c)
+    return "".join(reversed(out))
+
+
 def _luhn(digits: str) -> int:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -170,7 +202,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
         # a domain keeps its top level; all addresses of one domain go to one
-        host = _same_classes(".".join(labels[:-1]), _Stream(key, "domain", domain))
+        host = _permuted(".".join(labels[:-1]), key, labels[-1])
         return f"{_same_classes(local, draw)}@{host}.{labels[-1]}"
     if base == "ip":
         old = [int(x) for x in canonical.split(".")]
@@ -242,11 +274,14 @@ def settle(ws: Workspace, docs: DataFrame, key: bytes) -> DataFrame:
     entities = ws.put(docs.select("text").mapInArrow(_entities, "kind string, canonical string").distinct().withColumn("attempt", F.lit(0)), "entities")
     for _ in range(MOST_ROUNDS):
         made = ws.put(entities.mapInArrow(_proposals(key), shape + ", surrogate string"), "proposals")
-        # the earliest attempt keeps a surrogate, then the smallest form; real entities keep their own form
-        owner = made.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"))
-        real = made.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
-        judged = made.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        lost = F.col("real").isNotNull() | (F.col("first.canonical") != F.col("canonical"))
+        # the earliest attempt keeps a surrogate, then the smallest form; real entities keep their own form.
+        # Given names of either gender and of none share their names, so they are held against each other.
+        space = F.regexp_replace("kind", "^given:[^:]*:", "given:").alias("space")
+        placed = made.select("*", space)
+        owner = placed.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "canonical", "kind")).alias("first"))
+        real = placed.select("space", F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        judged = placed.join(owner, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
+        lost = F.col("real").isNotNull() | (F.col("first.canonical") != F.col("canonical")) | (F.col("first.kind") != F.col("kind"))
         judged = ws.put(judged.select("kind", "canonical", "attempt", "surrogate", lost.alias("lost")), "judged")
         if not judged.where("lost").limit(1).count():
             return judged.drop("lost")
@@ -256,14 +291,14 @@ def settle(ws: Workspace, docs: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"surrogates still clash after {MOST_ROUNDS} attempts")
 
 
-def _rewriting(key: bytes, exceptions):
+def _rewriting(key: bytes, exceptions, counted: str, own: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(exceptions.value) if exceptions is not None else {}
         for batch in text_slices(batches):
             names = batch.schema.names
-            own = batch.column("_later").to_pylist() if "_later" in names else [None] * batch.num_rows
+            listed = batch.column(own).to_pylist() if own else [None] * batch.num_rows
             texts, counts = [], []
-            for text, more in zip(combined(batch, "text").to_pylist(), own, strict=True):
+            for text, more in zip(combined(batch, "text").to_pylist(), listed, strict=True):
                 spans = detect(text) if text else []
                 later = known | {(x["kind"], x["canonical"]): x["attempt"] for x in more} if more else known
                 out, at = [], 0
@@ -273,30 +308,39 @@ def _rewriting(key: bytes, exceptions):
                     at = b
                 texts.append("".join(out) + text[at:] if spans else text)
                 counts.append(len(spans))
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names if c != "_later"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*(c for c in names if c != "_later"), "n_entities"])
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names if c != own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*(c for c in names if c != own), counted])
 
     return run
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
-        rows = sorted({(i, k, c) for i, t in zip(batch.column("doc_id").to_pylist(), combined(batch, "text").to_pylist(), strict=True) if t and i is not None for _, _, k, c in detect(t)})
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "kind", "canonical"])
+        texts = zip(*(batch.column(c).to_pylist() for c in ("t", "u")), combined(batch, "text").to_pylist(), strict=True)
+        rows = sorted({(i, j, k, c) for i, j, t in texts if t for _, _, k, c in detect(t)})
+        types = (pa.int64(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], ["t", "u", "kind", "canonical"])
+
 
+def replace_entities(spark: SparkSession, docs: DataFrame, key: bytes, *, broadcast_entities: int = BROADCAST_ENTITIES, counted: str = "n_entities") -> DataFrame:
+    """The documents' columns with text rewritten, and the number of its entities, which replaces a column of the name `counted`.
 
-def replace_entities(spark: SparkSession, docs: DataFrame, key: bytes, *, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
-    """The documents' columns with text rewritten, and n_entities."""
+    Entities that lost their first surrogate are sent to all executors, or, beyond `broadcast_entities`, joined to the
+    texts that have them (told by 96 bits of hash); the result is the same."""
     ws = Workspace(spark, "pii")
     settled = settle(ws, docs, key)
     later = settled.where("attempt > 0").select("kind", "canonical", "attempt")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType())])
+    docs = docs.select(*[c for c in docs.columns if c.lower() != counted.lower()])
+    schema = T.StructType([*docs.schema.fields, T.StructField(counted, T.LongType())])
     if later.count() <= broadcast_entities:
         listed = [((r["kind"], r["canonical"]), r["attempt"]) for r in later.collect()]
-        return docs.mapInArrow(_rewriting(key, spark.sparkContext.broadcast(listed) if listed else None), schema)
-    where = docs.select("doc_id", "text").mapInArrow(_occurrences, "doc_id long, kind string, canonical string").distinct()
-    own = where.join(later, ["kind", "canonical"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("_later"))
-    return docs.join(own, "doc_id", "left").select(*docs.columns, "_later").mapInArrow(_rewriting(key, None), schema)
+        return docs.mapInArrow(_rewriting(key, spark.sparkContext.broadcast(listed) if listed else None, counted), schema)
+    t, u, own = (fresh(c, docs.columns) for c in ("text_mark", "text_more", "text_later"))
+    marks = F.xxhash64("text"), F.hash("text")
+    where = docs.select("text", marks[0].alias("t"), marks[1].alias("u")).mapInArrow(_occurrences, "t long, u int, kind string, canonical string").distinct()
+    found = where.join(later, ["kind", "canonical"]).groupBy("t", "u").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias(own)).toDF(t, u, own)
+    named = docs.select("*", marks[0].alias(t), marks[1].alias(u)).join(found, [t, u], "left").select(*docs.columns, own)
+    return named.mapInArrow(_rewriting(key, None, counted, own), schema)
 
 
 #: The key of the registered query and pipeline; a deployment passes its own.

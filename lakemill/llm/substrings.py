@@ -14,8 +14,9 @@ documents sends at most one row a task to one place.
 
 Cases: null text has no words; texts under `size` words keep all; a repeated
 row repeats every window of its own; windows overlapping themselves inside one
-text count as repeats; an empty table gives an empty result. doc_id is the
-key: rows that share one but differ in text share their marks.
+text count as repeats; an empty table gives an empty result; doc_id may be null
+or shared: inside, a row goes by 96 bits of its doc_id and text, and only rows
+equal in both share their marks, which are equal too.
 """
 
 from __future__ import annotations
@@ -40,9 +41,6 @@ ANCHOR = 8
 BITS = 27
 #: Candidate windows that a task holds before it combines them.
 HELD = 3_000_000
-#: Stands for a null doc_id inside.
-NO_ID = -(1 << 63)
-
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Leftmost position of the least value in every run of `width` values."""
@@ -103,7 +101,7 @@ def _candidates(size: int, bits: Broadcast):
         held: list[tuple[np.ndarray, ...]] = []
 
         def combine() -> pa.RecordBatch:
-            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            h1, h2, row, part = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((h2, h1))
             same = np.zeros(len(h1), bool)
             same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
@@ -112,11 +110,11 @@ def _candidates(size: int, bits: Broadcast):
             n = np.ones(len(h1), np.int8)
             n[order[np.flatnonzero(same) - 1]] = 2
             n[more] = 2
-            away = mix((doc[more].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(pos[more].astype(np.uint64)))
+            away = mix((row[more].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(part[more].view(np.uint64)))
             h1[more], h2[more] = away, (mix(away) >> np.uint64(32)).astype(np.uint32)
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(doc), pa.array(pos), pa.array(n)], ["h1", "h2", "doc", "pos", "n"]
+                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(row), pa.array(part), pa.array(n)], ["h1", "h2", "row", "part", "n"]
             )
 
         for batch in text_slices(batches):
@@ -128,8 +126,8 @@ def _candidates(size: int, bits: Broadcast):
                 keep = _marked(bits.value, hashes[anchor])
                 first = first[keep]
                 owner = np.searchsorted(words.first, first, "right") - 1
-                ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-                held.append((h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), ids[owner], (first - words.first[owner]).astype(np.int32)))
+                part = batch.column("more").to_numpy().astype(np.int64)[owner] << 32 | (first - words.first[owner])
+                held.append((h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), batch.column("row").to_numpy()[owner], part))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield combine()
         if held:
@@ -146,16 +144,16 @@ def _split(bits: Broadcast):
 
         for batch in text_slices(batches):
             raw, at = buffers(combined(batch, "text"))
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            marked = _marked(bits.value, mix(ids.view(np.uint64)))
+            marked = _marked(bits.value, mix(batch.column("row").to_numpy().view(np.uint64)))
             data, n, digest = raw.tobytes(), [], []
             for a, b, skip in zip(at[:-1].tolist(), at[1:].tolist(), marked.tolist(), strict=True):
                 words = () if skip else data[a:b].split()
                 n.append(len(words))
                 digest.append(None if skip else hashlib.sha256(b" ".join(words)).hexdigest())
-            text = pc.fill_null(combined(batch, "text"), "").take(pa.array(np.arange(len(ids)), mask=~marked))
+            text = pc.fill_null(combined(batch, "text"), "").take(pa.array(np.arange(len(marked)), mask=~marked))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n, pa.int64()), pa.array(digest, pa.string()), text], ["doc", "n_words", "kept_sha256", "text"]
+                [*(batch.column(c) for c in ("doc_id", "row", "more")), pa.array(n, pa.int64()), pa.array(digest, pa.string()), text],
+                ["doc_id", "row", "more", "n_words", "kept_sha256", "text"],
             )
 
     return run
@@ -164,7 +162,7 @@ def _split(bits: Broadcast):
 def _remove(size: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, removed, digest, kept, spans = batch.column("doc").to_pylist(), [], [], [], [], []
+            n, removed, digest, kept, spans = [], [], [], [], []
             for text, marks, words_before, sha in zip(*(batch.column(c) for c in ("text", "marks", "n_words", "kept_sha256")), strict=True):
                 if not text.is_valid:
                     n.append(words_before.as_py())
@@ -189,7 +187,7 @@ def _remove(size: int, keep_text: bool):
                 kept.append(stay.decode() if keep_text else None)
                 spans.append([{"from": int(a), "to": int(b)} for a, b in zip(flips[::2], flips[1::2], strict=True)])
             columns = [
-                pa.array([None if x == NO_ID else x for x in ids], pa.int64()),
+                batch.column("doc_id").cast(pa.int64()),
                 pa.array(n, pa.int64()),
                 pa.array(removed, pa.int64()),
                 pa.array(digest, pa.string()),
@@ -210,25 +208,27 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, size: int = SIZE, ke
     With keep_text also kept_text: null where nothing was taken out of the text.
     """
     ws = Workspace(spark, "substrings")
-    docs = docs.select("doc_id", "text")
-    anchors = docs.mapInArrow(_anchors(size), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    named = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", "text", F.xxhash64(*named).alias("row"), F.hash(*named).alias("more"))
+    anchors = docs.select("text").mapInArrow(_anchors(size), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     bits = bitmap(spark, anchors.where("n > 1").select(F.col("anchor").alias("key")))
-    windows = docs.mapInArrow(_candidates(size, bits), "h1 long, h2 int, doc long, pos int, n byte")
-    repeated = windows.withColumn("all", F.sum("n").over(W.partitionBy("h1", "h2"))).where("all > 1").select("doc", "pos")
+    windows = docs.mapInArrow(_candidates(size, bits), "h1 long, h2 int, row long, part long, n byte")
+    repeated = windows.withColumn("all", F.sum("n").over(W.partitionBy("h1", "h2"))).where("all > 1")
+    repeated = repeated.select("row", F.expr("CAST(part >> 32 AS INT)").alias("more"), F.expr("CAST(part & 4294967295L AS INT)").alias("pos"))
     block = F.shiftright("pos", 6).alias("block")
-    marks = repeated.repartition("doc").groupBy("doc", block).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    marks = ws.put(marks.groupBy("doc").agg(F.collect_list(F.struct("block", "bits")).alias("marks")), "marks")
-    seen = bitmap(spark, marks.select("doc").mapInArrow(_document_keys, "key long"))
-    texts = docs.mapInArrow(_split(seen), "doc long, n_words long, kept_sha256 string, text string")
+    marks = repeated.repartition("row").groupBy("row", "more", block).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
+    marks = ws.put(marks.groupBy("row", "more").agg(F.collect_list(F.struct("block", "bits")).alias("marks")), "marks")
+    seen = bitmap(spark, marks.select("row").mapInArrow(_document_keys, "key long"))
+    texts = docs.mapInArrow(_split(seen), "doc_id long, row long, more int, n_words long, kept_sha256 string, text string")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<`from`: long, `to`: long>>"
-    return texts.join(marks, "doc", "left").mapInArrow(_remove(size, keep_text), out + ", kept_text string" * keep_text)
+    return texts.join(marks, ["row", "more"], "left").mapInArrow(_remove(size, keep_text), out + ", kept_text string" * keep_text)
 
 
 def _document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .wordhash import mix
 
     for batch in batches:
-        ids = batch.column("doc").to_numpy().view(np.uint64)
+        ids = batch.column("row").to_numpy().view(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(mix(ids).view(np.int64))], ["key"])
 
 

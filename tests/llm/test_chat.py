@@ -39,3 +39,10 @@ def test_against_sql(spark, data):
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     want = con.sql(f"SELECT {', '.join(names)} FROM ({OP8_SQL}) ORDER BY ALL").fetchall()
     assert sorted(tuple(r[n] for n in names) for r in op8_format_chats(spark, data).toArrow().to_pylist()) == want
+
+
+def test_no_python_on_the_way(spark, data):
+    from lakemill.llm.chat import op8_format_chats
+
+    plan = op8_format_chats(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

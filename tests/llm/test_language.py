@@ -50,3 +50,11 @@ def test_held_out(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")
     got = op7_identify_language(spark, data).join(docs, "doc_id").where("held_out").toArrow().to_pylist()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+
+
+def test_clashing_names(spark, nasty):
+    from lakemill.llm.language import fold, identify
+
+    docs = nasty.selectExpr("*", "'old' AS lang_pred", "1 AS _order")
+    out = identify(spark, docs, fold(4) != 2)
+    assert out.columns == [*nasty.columns, "_order", "lang_pred", "lang_score"] and "old" not in {r[0] for r in out.select("lang_pred").collect()}

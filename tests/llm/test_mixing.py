@@ -44,3 +44,17 @@ def test_against_sql(spark, data):
     names = ["doc_id", "size", "source_size", "target", "taken", "virtual_finish"]
     want = con.sql(f"SELECT {', '.join(names)} FROM ({OP6_SQL}) ORDER BY ALL").fetchall()
     assert sorted(tuple(r[n] for n in names) for r in op6_mix_sources(spark, data).toArrow().to_pylist()) == want
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    from lakemill.llm.mixing import mix_documents, word_count
+
+    names = ["doc_id", "text", "source", "n_chars", "_row", "_id", "_words", "_finish", "_body", "_tail", "_copy", "cell"]
+    rows = [(k % 4 if k % 5 else None, " ".join(["w"] * (k % 7)), "ab"[k % 2], 1, *["x"] * 8) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names[4:]))
+    out = mix_documents(spark, docs)
+    assert out.columns == names and {r[0] for r in out.select("_tail").distinct().collect()} == {"x"}
+    total = lambda d: d.agg(F.sum(word_count(F.col("text")))).first()[0]
+    assert total(out) == total(docs)

@@ -71,3 +71,54 @@ def test_given_names_clash_and_settle(spark):
     for bound in (0, 1000):
         got = {r["doc_id"]: r["text"].split()[0] for r in replace_entities(spark, docs, b"k", broadcast_entities=bound).toArrow().to_pylist()}
         assert len(set(got.values())) == len(names) and not set(got.values()) & set(names)
+
+
+def test_later_bare_names_go_with_their_person():
+    new = _rewrite("Anna Smith wrote. Smith said so. Anna left. Blacksmith stays.")
+    names = re.fullmatch(r"(\w+) (\w+) wrote\. (\w+) said so\. (\w+) left\. Blacksmith stays\.", new)
+    assert names and names[1] == names[4] != "Anna" and names[2] == names[3] != "Smith"
+
+
+def test_domains_stay_distinct():
+    domains = [f"{a}.org" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{b}.org" for a in "abcdef" for b in range(10)] + ["a-b.c.org", "ab-c.org"]
+    new = [surrogate(b"k", "email", f"x@{d}", 0).partition("@")[2] for d in domains]
+    assert len(set(new)) == len(domains)
+    assert all([c.isalpha() for c in a] == [c.isalpha() for c in b] for a, b in zip(domains, new, strict=True))
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"u{k}@site.org" for k in range(20_000))
+    assert len(detect(text)) == 20_000
+
+
+def test_bound_does_not_matter_with_null_and_shared_ids(spark):
+    given = [("Frau " if k % 2 else "Mr ") + f"Anna{chr(97 + k % 26)} Smith{chr(97 + k // 26)}" for k in range(120)] + ["Anna Smith", "Dr. Anna Smith"]
+    rows = [(None if k % 3 else 7, f"{n} spoke.", "x") for k, n in enumerate(given)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_entities string")
+    got = [sorted(r["text"] for r in replace_entities(spark, docs, b"k", broadcast_entities=b).toArrow().to_pylist()) for b in (0, 10**6)]
+    assert got[0] == got[1] and len(set(got[0])) == len(set(given))
+    assert [c for c, _ in replace_entities(spark, docs, b"k").dtypes] == ["doc_id", "text", "n_entities"]
+
+
+def test_surrogates_of_a_whole_table_are_distinct(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    old = {r["doc_id"]: r["text"] for r in docs.toArrow().to_pylist()}
+    new = {r["doc_id"]: r["text"] for r in replace_entities(spark, docs, b"k").toArrow().to_pylist()}
+    there, back, entities = {}, {}, set()
+    for i, text in old.items():
+        spans = detect(text or "")
+        entities |= {(k, c) for _, _, k, c in spans}
+        shift = 0
+        for n, (a, b, kind, canonical) in enumerate(spans):
+            after = spans[n + 1][0] if n + 1 < len(spans) else len(text)
+            between = text[b:after]
+            end = new[i].index(between, a + shift) if between else len(new[i]) if after == len(text) else None
+            if end is None:
+                break
+            found = (kind.split(":")[0], new[i][a + shift : end].lower() if kind.split(":")[0] in ("email", "given", "family") else re.sub(r"[^0-9A-Za-z.]", "", new[i][a + shift : end]))
+            if kind.split(":")[0] in ("email", "given", "family"):
+                assert there.setdefault((kind, canonical), found) == found
+                assert back.setdefault(found, (kind, canonical)) == (kind, canonical)
+                assert (kind, found[1]) not in entities
+            shift = end - b
+    assert there

@@ -42,3 +42,16 @@ def test_empty_and_null_id(spark, empty):
     assert remove_repeats(spark, empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (1, "a b c e")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in remove_repeats(spark, rows, size=3).toArrow().to_pylist()) == [(0, 3), (1, 3)]
+
+
+def test_shared_null_and_extreme_ids(spark):
+    """Different texts under one id, or under none, keep to themselves."""
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    low = -(1 << 63)
+    rows = [(5, words(0, 10)), (5, words(100, 110)), (None, words(200, 210)), (None, words(0, 10)), (low, words(300, 310)), (7, words(300, 305)), (-1, words(200, 204))]
+    got = remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), size=3).toArrow().to_pylist()
+    plain = lambda rs: sorted((str(a), *rest) for a, *rest in rs)
+    want = []
+    for (i, _), (k, *rest) in zip(rows, sorted(brute([(k, t) for k, (_, t) in enumerate(rows)], 3)), strict=True):
+        want.append((i, *rest))
+    assert plain((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == plain(want)
