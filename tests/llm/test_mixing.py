@@ -57,4 +57,5 @@ def test_clashing_names_and_repeated_ids(spark):
     out = mix_documents(spark, docs)
     assert out.columns == names and {r[0] for r in out.select("_tail").distinct().collect()} == {"x"}
     total = lambda d: d.agg(F.sum(word_count(F.col("text")))).first()[0]
-    assert total(out) == total(docs)
+    # a source's target is cut to whole words
+    assert 0 <= total(docs) - total(out) < 2
