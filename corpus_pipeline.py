@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm import language, mixing, neardup, packing, pii
+from lakemill.llm.batches import fresh
 from lakemill.llm.store import Workspace
 
 #: Least probability of the predicted language that keeps a document.
@@ -23,8 +24,9 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = language.identify(spark, docs, language.fold(4) != 2)
-    return out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    found, score = fresh("lang_pred", docs.columns), fresh("lang_score", docs.columns)
+    out = language.identify(spark, docs, language.fold(4) != 2, added=(found, score))
+    return out.where((F.col(found) != "und") & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +34,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a key of their own, as doc_id may be null or repeated; rows without words are linked with nothing."""
     ws = Workspace(spark, "near_dedup")
-    rows = ws.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = neardup.near_duplicates(spark, rows.select(F.col("_row").alias("doc_id"), "text"), size=5)
-    return rows.join(found.where("kept").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = fresh("row_key", docs.columns)
+    rows = ws.put(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(spark, rows.select(F.col(row).alias("doc_id"), "text"), size=5)
+    return rows.join(found.where("kept").select(F.col("doc_id").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replace_entities(spark, docs, pii.KEY).drop("n_entities")
+    out = pii.replace_entities(spark, docs, pii.KEY, counted=fresh("n_entities", docs.columns))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
