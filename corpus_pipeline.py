@@ -32,12 +32,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Groups by five-word shingles at a similarity of 0.8 or more; one row of each stays.
 
-    Rows are told apart by a key of their own, as doc_id may be null or repeated; rows without words are linked with nothing."""
+    Rows go by a hash of doc_id and text, as doc_id may be null or repeated: rows equal in both are copies of each other.
+    Rows without words are linked with nothing."""
     ws = Workspace(spark, "near_dedup")
     row = fresh("row_key", docs.columns)
-    rows = ws.put(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = neardup.near_duplicates(spark, rows.select(F.col(row).alias("doc_id"), "text"), size=5)
-    return rows.join(found.where("kept").select(F.col("doc_id").alias(row)), row, "left_semi").select(*docs.columns)
+    rows = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))))
+    found = neardup.near_duplicates(spark, rows.select(F.col(row).alias("doc_id"), "text"), size=5).where("kept")
+    kept = found.groupBy(F.col("doc_id").alias(row)).agg(F.count("*").alias("many"), F.max("n_shingles").alias("n"))
+    kept = ws.put(kept.select(row, ((F.col("many") > 1) & (F.col("n") > 0)).alias("copied")), "kept")
+    single = rows.join(kept.where("NOT copied").select(row), row, "left_semi")
+    copied = rows.join(kept.where("copied").select(row), row, "left_semi").dropDuplicates([row])
+    return single.select(*docs.columns).unionByName(copied.select(*docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
