@@ -11,7 +11,7 @@ from pyspark.sql.types import DecimalType
 
 from .errors import BindingError, ExecutionError
 from .plans.dialect import Statement, check_tree, divisions, guard_scalars, keep_sums, rewrite, tokenise
-from .plans.types import check_types, sums_decimals
+from .plans.types import check_types
 from .session import SEMANTICS
 from .sources import READERS
 from .sources.lakehouse import UnityCatalog
@@ -71,11 +71,13 @@ class Engine:
         frame = self._bind(statement.sql, sources)
         if not strict:
             return frame
-        tokens = statement.tokens
-        if sums_decimals(self.spark, frame):
+        tokens, met = statement.tokens, check_types(self.spark, frame)
+        if met.sums_of_decimals:
             tokens = keep_sums(tokens, lambda query: self._decimal(query, sources))
             frame = self._bind(" ".join(tokens), sources)
-        met = check_types(self.spark, frame)
+            met = check_types(self.spark, frame)
+        if met.refused:
+            raise BindingError(met.refused)
         tokens = guard_scalars(self._integer_division(tokens, sources, met.integer_divisions_of_decimals))
         return frame if tokens == statement.tokens else self._bind(" ".join(tokens), sources)
 
@@ -84,7 +86,8 @@ class Engine:
         for k in divisions(tokens):
             tried = [*tokens[:k], "DIV", *tokens[k + 1 :]]
             try:
-                if check_types(self.spark, self.spark.sql(" ".join(tried), **sources)).integer_divisions_of_decimals == decimals:
+                found = check_types(self.spark, self.spark.sql(" ".join(tried), **sources))
+                if not found.refused and found.integer_divisions_of_decimals == decimals:
                     tokens = tried
             except Exception:
                 continue
