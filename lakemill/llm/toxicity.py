@@ -1,21 +1,28 @@
 """Toxicity by weak supervision.
 
-Voters: a fixed lexicon, lexicons of words and of word beginnings learned from
-labelled rows, how many of their entries meet in a text, a likelihood sum, and
-patterns of address, shouting and stress. Each votes toxic, clean or abstains.
-A generative label model (prior, and the vote distribution of each voter in
-each class) is fitted by expectation-maximisation on the counts of vote
-patterns; voters whose votes go together beyond what the class explains are
-modelled jointly. Its posteriors are the labels that a sparse linear classifier
-on word and word-beginning features is trained on; its scores are calibrated on the labelled rows of its sample.
-
-Counts for lexicons and vote patterns come from all learnable rows; the
-classifier is fitted on a sample of at most about `sample` of them.
-
-Cases: null text is empty; texts without known features get the prior's score;
-no labelled row at all leaves the fixed lexicon and the patterns to decide;
-repeated rows are treated alike; other columns are not read. doc_id only joins
-labels and places rows in folds and the sample.
+Voters: fixed lexicons of several kinds of abuse, lexicons of words and of word
+beginnings learned from labelled rows, how many and how densely their entries
+stand in a text, a likelihood sum, and patterns of address, masking, shouting
+and stress. Each votes toxic, clean or abstains. Learned voters vote out of
+fold: learnable rows are dealt into folds, and what votes on a row was learned
+from the labels of the other folds, its thresholds included.
+
+A generative label model (the vote distribution of each voter in each class) is
+fitted by expectation-maximisation on the counts of vote patterns, without any
+label: of the labels only the share of toxic rows enters, as the prior. Voters
+whose votes go together beyond what the class explains are modelled jointly.
+Its posteriors are the labels that a sparse linear classifier on word and
+word-beginning features is trained on.
+
+Counts for lexicons and vote patterns come from all learnable rows and whole
+texts; the classifier is fitted on a sample of at most about `sample` of them.
+
+Cases: null text is empty; very long texts are read whole; texts without known
+features get the bias's score; no labelled row at all leaves the fixed lexicons
+and the patterns to decide; repeated rows are treated alike; rows without
+doc_id share a fold and are never labelled; a document labelled both ways
+counts as toxic; other columns, whatever their names, are not read. doc_id only
+joins labels and places rows in folds and the sample.
 """
 
 from __future__ import annotations
@@ -23,10 +30,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +52,42 @@ _SPAN = 1 << 20
 #: Label rows that are sent to every executor; beyond that they are joined.
 BROADCAST_ROWS = 500_000
 
-# Insults and abuse in the corpus languages.
-LEXICON = """
-idiot moron stupid imbecile scum trash garbage loser clown worthless pathetic disgusting
-dumb dumbass fool jerk bastard asshole bitch whore slut retard freak vermin filth filthy
-fuck fucking fucker motherfucker shit bullshit cunt dick prick wanker twat crap
-idiota imbécil estúpido estúpida basura payaso asqueroso mierda puta cabrón gilipollas inútil
-idiote imbécile stupide ordure déchet clown dégoûtant merde salope connard connasse putain minable
-dumm dummkopf blöd blödmann abschaum müll versager trottel ekelhaft scheiße arschloch hure schlampe wertlos
+#: Folds that learned voters are kept apart by, and the likelihood ratio that their strong entries must hold in the fold left out.
+FOLDS, LEAST_RATIO = 3, 10
+#: z scores tried for strong entries, least first.
+STRONG_Z = (2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0)
+
+# Words of abuse in the corpus languages (English, Spanish, French, German), by kind.
+MIND = """
+idiot moron stupid imbecile dumb dumbass fool retard clown
+idiota imbécil estúpido estúpida payaso inútil
+idiote imbécile stupide
+dumm dummkopf blöd blödmann trottel
 """.split()
+WORTH = """
+scum trash garbage loser worthless pathetic disgusting jerk freak vermin filth filthy crap
+basura asqueroso
+ordure déchet dégoûtant minable
+abschaum müll versager ekelhaft wertlos
+""".split()
+PROFANITY = """
+bastard asshole bitch whore slut fuck fucking fucker motherfucker shit bullshit cunt dick prick wanker twat
+mierda puta cabrón gilipollas
+merde salope connard connasse putain
+scheiße arschloch hure schlampe
+""".split()
+THREAT = """
+kill hate hang rape murder strangle
+matar muere odio
+crève haine tuer
+stirb hasse töten umbringen
+""".split()
+KINDS = {"mind": MIND, "worth": WORTH, "profanity": PROFANITY, "threat": THREAT}
+LEXICON = [word for kind in KINDS.values() for word in kind]
 
 _ADDRESS = re.compile(r"(?i)\b(?:you|your|u|du|ihr|tu|vous|tú|eres|es|bist|are)\b(?:\W+\w+){0,2}?\W+(?:" + "|".join(sorted(set(LEXICON))) + r")\b")
-VOTERS = ("lexicon", "words", "beginnings", "several", "likelihood", "address", "shouting", "stress")
+_MASKED = re.compile(r"(?<![\w*])\w{1,2}\*{1,3}\w{1,3}(?![\w*])")
+VOTERS = (*KINDS, "words", "beginnings", "several", "density", "likelihood", "address", "masked", "shouting", "stress")
 
 
 def _tokens(batch: pa.RecordBatch):
@@ -84,51 +116,81 @@ def _features(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    seen, rows = np.zeros((FOLDS, 2, 1 << BITS), np.int32), np.zeros((FOLDS, 2), np.int64)
     for batch in text_slices(batches):
-        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        label, fold_of = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "_fold"))
         owner, bucket, _ = _features(_tokens(batch))
-        for c in (0, 1):
-            seen[c] += np.bincount(bucket[label[owner] == c], minlength=1 << BITS)
-            rows[c] += (label == c).sum()
-    found = np.flatnonzero(seen.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(found, -1)), *(pa.array(np.append(seen[c][found], rows[c])) for c in (0, 1))], ["feature", "n0", "n1"]
-    )
+        for k, c in product(range(FOLDS), (0, 1)):
+            own = (label == c) & (fold_of == k)
+            if own.any():
+                seen[k, c] += np.bincount(bucket[own[owner]], minlength=1 << BITS).astype(np.int32)
+                rows[k, c] += own.sum()
+    found = np.flatnonzero(seen.any(axis=(0, 1)))
+    counts = [pa.array(np.append(seen[k, c][found], rows[k, c]).astype(np.int64)) for k, c in product(range(FOLDS), (0, 1))]
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), *counts], ["feature", *COUNTS])
+
+
+COUNTS = [f"n{c}_{k}" for k, c in product(range(FOLDS), (0, 1))]
 
 
 @dataclass
 class Lexicons:
-    """What the voters know."""
+    """What the voters know; learned parts by fold, from the labels of the other folds."""
 
-    ratio: np.ndarray  # log-likelihood ratio of each bucket; 0 where not told apart
-    strong: np.ndarray  # buckets that stand for toxicity
+    ratio: np.ndarray  # log-likelihood ratio of each bucket by fold; 0 where not told apart
+    strong: np.ndarray  # buckets that stand for toxicity, by fold
+    even: np.ndarray  # log-likelihood sum above which toxicity is likelier, by fold
     index: np.ndarray  # number of the classifier's features by bucket, -1 elsewhere
 
     def __post_init__(self):
         from .wordhash import Words, buffers, mix
 
-        w = Words(*buffers(pa.array([" ".join(LEXICON)])), letters=True)
-        self.fixed = np.unique((mix(w.hash) >> np.uint64(64 - BITS)).astype(np.int64))
+        self.kinds = []
+        for words in KINDS.values():
+            w = Words(*buffers(pa.array([" ".join(words)])), letters=True)
+            self.kinds.append(np.unique((mix(w.hash) >> np.uint64(64 - BITS)).astype(np.int64)))
+        self.fixed = np.unique(np.concatenate(self.kinds))
+
+
+def _evidence(n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood ratio and z score of each bucket (n: clean, toxic), and whether it is told apart."""
+    b, a = n
+    log_odds = np.log((a + 0.5) / (rows[1] + 1)) - np.log((b + 0.5) / (rows[0] + 1))
+    z = log_odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    return log_odds, z, (np.abs(z) >= 3) & (a + b >= 5)
 
 
 def learn_lexicons(table: pa.Table) -> Lexicons:
-    feature, n0, n1 = (table.column(c).to_numpy().astype(np.float64) for c in ("feature", "n0", "n1"))
+    """table: feature, and rows of each class and fold that hold it (COUNTS); feature -1 has all rows."""
+    feature = table.column("feature").to_numpy()
+    n = np.stack([table.column(c).to_numpy() for c in COUNTS]).astype(np.float64).reshape(FOLDS, 2, -1)
+    rows, n, at = n[:, :, feature < 0].sum(axis=2), n[:, :, feature >= 0], feature[feature >= 0].astype(np.int64)
     size = 1 << BITS
-    ratio, strong, index = np.zeros(size), np.zeros(size, bool), np.full(size, -1, np.int32)
-    totals = feature < 0
-    t0, t1 = n0[totals].sum(), n1[totals].sum()
-    at = feature[~totals].astype(np.int64)
-    a, b = n1[~totals], n0[~totals]
-    log_odds = np.log((a + 0.5) / (t1 + 1)) - np.log((b + 0.5) / (t0 + 1))
-    z = log_odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    told = (np.abs(z) >= 3) & (a + b >= 5)
-    ratio[at[told]] = np.clip(log_odds[told], -4, 4)
-    sure = told & (z >= 3.5) & (log_odds >= 3) & (a >= 5)
-    strong[at[sure]] = True
+    ratio, strong, index = np.zeros((FOLDS, size), np.float32), np.zeros((FOLDS, size), bool), np.full(size, -1, np.int32)
+    learned = [_evidence(n.sum(axis=0) - n[k], rows.sum(axis=0) - rows[k]) for k in range(FOLDS)]
+    even = np.zeros(FOLDS)
+    for k, (log_odds, z, told) in enumerate(learned):
+        clean, toxic = rows.sum(axis=0) - rows[k] + 1
+        b, a = (n.sum(axis=0) - n[k])[:, told] + 0.5
+        # what the absence of every entry says is counted once, its part taken back where one is met
+        absent = np.log1p(-np.minimum(a / toxic, 0.99)) - np.log1p(-np.minimum(b / clean, 0.99))
+        ratio[k, at[told]] = np.clip(log_odds[told] - absent, -4, 4)
+        even[k] = np.log(clean / toxic) - absent.sum()
+        # the least z score whose entries hold the ratio in folds that neither learned them nor are voted on
+        for least in STRONG_Z:
+            held = np.zeros(2)
+            for j in (j for j in range(FOLDS) if j != k):
+                others = n.sum(axis=0) - n[k] - n[j]
+                _, inner, _ = _evidence(others, rows.sum(axis=0) - rows[k] - rows[j])
+                held += n[j][:, inner >= least].sum(axis=1) / (rows[j] + 1)
+            if held[1] >= LEAST_RATIO * held[0]:
+                break
+        sure = told & (z >= least) & (log_odds >= np.log(LEAST_RATIO))
+        strong[k, at[sure]] = True
     # all that are told apart are features; the classifier's penalty leaves few weights
+    _, _, told = _evidence(n.sum(axis=0), rows.sum(axis=0))
     index[np.sort(at[told])] = np.arange(told.sum())
-    out = Lexicons(ratio, strong, index)
+    out = Lexicons(ratio, strong, even, index)
     known = index.max() + 1
     for k, bucket in enumerate(b for b in out.fixed.tolist() if index[b] < 0):
         index[bucket] = known + k
@@ -155,54 +217,66 @@ def capitals(text: str) -> tuple[int, int]:
     return upper, letters
 
 
-def votes(batch: pa.RecordBatch, lex: Lexicons) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def votes(batch: pa.RecordBatch, lex: Lexicons, fold_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Votes (-1 clean, 0 abstain, 1 toxic) of every text, and its (text, feature) pairs."""
     words = _tokens(batch)
     n = batch.num_rows
     owner, bucket, whole = _features(words)
-    out = np.zeros((n, len(VOTERS)), np.int8)
+    fold_of = np.zeros(n, np.int64) if fold_of is None else fold_of
+    place = fold_of[owner]
+    vote = {}
     per_text = lambda mask: np.bincount(owner[mask], minlength=n)
-    fixed = per_text(whole & np.isin(bucket, lex.fixed))
-    by_word, by_start = per_text(whole & lex.strong[bucket]), per_text(~whole & lex.strong[bucket])
-    out[:, 0] = np.where(fixed > 0, 1, 0)
-    out[:, 1] = np.where(by_word > 0, 1, -1)
-    out[:, 2] = np.where(by_start > 0, 1, -1)
-    out[:, 3] = np.where(by_word + fixed >= 2, 1, 0)
-    total = np.bincount(owner, weights=lex.ratio[bucket], minlength=n)
-    out[:, 4] = np.where(total > 3, 1, np.where(total < 0, -1, 0))
+    for name, kind in zip(KINDS, lex.kinds, strict=True):
+        vote[name] = per_text(whole & np.isin(bucket, kind)) > 0
+    strong, fixed = lex.strong[place, bucket], whole & np.isin(bucket, lex.fixed)
+    by_word, by_start, entries = per_text(whole & strong), per_text(~whole & strong), per_text(whole & (strong | fixed))
+    vote["words"] = np.where(by_word > 0, 1, -1)
+    vote["beginnings"] = np.where(by_start > 0, 1, -1)
+    vote["several"] = entries >= 2
+    vote["density"] = (entries > 0) & (100 * entries >= words.counts())
+    total = np.bincount(owner, weights=lex.ratio[place, bucket], minlength=n)
+    vote["likelihood"] = np.where(total > lex.even[fold_of] + 2, 1, np.where(total < lex.even[fold_of] - 2, -1, 0))
+    for name in ("address", "masked", "shouting", "stress"):
+        vote[name] = np.zeros(n, np.int8)
+    named = per_text(fixed)
     for k, text in enumerate(combined(batch, "text").to_pylist()):
-        if text and fixed[k] and _ADDRESS.search(text):
-            out[k, 5] = 1
         if text:
             (upper, letters), stress = capitals(text), text.count("!")
-            out[k, 6] = 1 if 2 * upper > letters else 0
-            out[k, 7] = 1 if stress * 20 > len(text) else 0
+            vote["address"][k] = bool(named[k] and _ADDRESS.search(text))
+            vote["masked"][k] = bool("*" in text and _MASKED.search(text))
+            vote["shouting"][k] = 2 * upper > letters
+            vote["stress"][k] = stress * 20 > len(text)
     feature = lex.index[bucket]
-    return out, owner[feature >= 0], feature[feature >= 0].astype(np.int64)
+    return np.stack([vote[v] for v in VOTERS], axis=1).astype(np.int8), owner[feature >= 0], feature[feature >= 0].astype(np.int64)
 
 
 def _voting(lexicons, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, powers = lexicons.value, 3 ** np.arange(len(VOTERS))
         for batch in text_slices(batches):
-            vote, owner, feature = votes(batch, lex)
+            vote, owner, feature = votes(batch, lex, batch.column("_fold").to_numpy().astype(np.int64))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             drawn = batch.column("_position").to_numpy() < share
             vectors = [feature[a:b].astype("<i4").tobytes() if d else None for a, b, d in zip(cut, cut[1:], drawn, strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((vote + 1) @ powers), batch.column("toxic"), batch.column("_position"), pa.array(vectors, pa.binary())],
-                ["pattern", "toxic", "position", "features"],
+                [pa.array((vote + 1) @ powers), batch.column("_position"), pa.array(vectors, pa.binary())], ["pattern", "position", "features"]
             )
 
     return run
 
 
+def unpacked(pattern: np.ndarray) -> np.ndarray:
+    """Votes of pattern numbers."""
+    return (pattern[:, None] // 3 ** np.arange(len(VOTERS))) % 3 - 1
+
+
 @dataclass
 class LabelModel:
     """Vote distributions of blocks of voters in each class; voters of a block are dependent."""
 
     blocks: list[tuple[int, ...]]
-    prior: float = 0.5
+    prior: float = 0.1
+    fixed_prior: bool = False
     tables: list[np.ndarray] = field(default_factory=list)
 
     def _cells(self, vote: np.ndarray) -> list[np.ndarray]:
@@ -215,22 +289,29 @@ class LabelModel:
             total += np.log(table[1, cell]) - np.log(table[0, cell])
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
-    def fit(self, vote: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 100) -> LabelModel:
-        """vote: distinct patterns; label: 0, 1, or -1 for unknown."""
-        known = label >= 0
-        start = 1 / (1 + np.exp(-2 * (vote.sum(axis=1) + 1.0)))
-        p = np.where(known, label, start)
+    def _expected(self, block: tuple[int, ...]) -> np.ndarray:
+        """Pseudo-counts: a voter is believed to be right more often than wrong."""
+        out = np.ones((2, 1))
+        for _ in block:
+            each = np.array([[0.6, 0.3, 0.1], [0.2, 0.3, 0.5]])
+            out = (each[:, :, None] * out[:, None, :]).reshape(2, -1)
+        return 2 * out
+
+    def fit(self, vote: np.ndarray, count: np.ndarray, rounds: int = 200) -> LabelModel:
+        """vote: distinct patterns. Labels take no part."""
+        self.tables = [t / t.sum(axis=1, keepdims=True) for t in map(self._expected, self.blocks)]
+        p = self.posterior(vote)
         cells = self._cells(vote)
         for _ in range(rounds):
             weight = np.stack([count * (1 - p), count * p])
             mass = weight.sum(axis=1)
-            self.prior = float(np.clip((mass[1] + 1) / (mass.sum() + 2), 1e-4, 1 - 1e-4))
+            if not self.fixed_prior:
+                self.prior = float(np.clip((mass[1] + 1) / (mass.sum() + 2), 1e-4, 1 - 1e-4))
             self.tables = []
             for b, cell in zip(self.blocks, cells, strict=True):
-                size = 3 ** len(b)
-                t = np.stack([np.bincount(cell, weights=w, minlength=size) for w in weight]) + 0.5 / len(b)
+                t = np.stack([np.bincount(cell, weights=w, minlength=3 ** len(b)) for w in weight]) + self._expected(b)
                 self.tables.append(t / t.sum(axis=1, keepdims=True))
-            new = np.where(known, label, self.posterior(vote))
+            new = self.posterior(vote)
             if np.abs(new - p).max(initial=0) < 1e-7:
                 break
             p = new
@@ -256,16 +337,19 @@ def strongest_pair(vote: np.ndarray, count: np.ndarray, p: np.ndarray, blocks: l
     return best
 
 
-def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray, threshold: float = 0.3, widest: int = 4) -> LabelModel:
+def fit_label_model(vote: np.ndarray, count: np.ndarray, prior: float | None = None, threshold: float = 0.3, widest: int = 4) -> LabelModel:
     """Joins the two most correlated blocks of voters and fits again, until none is above the threshold."""
-    model = LabelModel([(v,) for v in range(vote.shape[1])]).fit(vote, count, label)
+
+    def model(blocks):
+        return LabelModel(blocks, 0.1 if prior is None else prior, prior is not None).fit(vote, count)
+
+    found = model([(v,) for v in range(vote.shape[1])])
     while True:
-        p = np.where(label >= 0, label, model.posterior(vote))
-        strength, i, j = strongest_pair(vote, count, p, model.blocks, widest)
+        strength, i, j = strongest_pair(vote, count, found.posterior(vote), found.blocks, widest)
         if strength < threshold:
-            return model
-        joined = tuple(sorted(model.blocks[i] + model.blocks[j]))
-        model = LabelModel(sorted([*(b for k, b in enumerate(model.blocks) if k not in (i, j)), joined])).fit(vote, count, label)
+            return found
+        joined = tuple(sorted(found.blocks[i] + found.blocks[j]))
+        found = model(sorted([*(b for k, b in enumerate(found.blocks) if k not in (i, j)), joined]))
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, *, l1: float = 5e-6, l2: float = 1e-5, rounds: int = 800) -> tuple[np.ndarray, float]:
@@ -290,19 +374,6 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, *, l1: flo
     return w, b
 
 
-def calibrate(raw: np.ndarray, label: np.ndarray, least: int = 10, rounds: int = 30) -> tuple[float, float]:
-    """Slope and shift that make raw scores probabilities on labelled rows; none if either class has under `least`."""
-    if min((label == 0).sum(), (label == 1).sum()) < least:
-        return 1.0, 0.0
-    x, theta = np.stack([raw, np.ones(len(raw))], axis=1), np.array([1.0, 0.0])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        g = x.T @ (p - label) + 1e-2 * (theta - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        theta = theta - np.linalg.solve(h, g)
-    return (float(theta[0]), float(theta[1])) if np.isfinite(theta).all() and theta[0] > 0 else (1.0, 0.0)
-
-
 def _scoring(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, w, b = model.value
@@ -319,6 +390,13 @@ def _scoring(model):
     return run
 
 
+def _prior(counts: pa.Table) -> float | None:
+    """Share of toxic rows among the labelled; None without both classes."""
+    total = {c: sum(counts.filter(pc.less(counts.column("feature"), 0)).column(c).to_pylist()) for c in COUNTS}
+    clean, toxic = (sum(n for c, n in total.items() if c.startswith(k)) for k in ("n0", "n1"))
+    return toxic / (clean + toxic) if clean and toxic else None
+
+
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learnable: Column, *, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score, predicted of every row. labels: doc_id, toxic. Learns from rows where `learnable` holds."""
     ws = Workspace(spark, "toxicity")
@@ -327,27 +405,23 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, lear
     if own.count() <= BROADCAST_ROWS:
         own = F.broadcast(own)
     position = F.conv(F.substring(F.md5(F.concat(F.lit("toxicity:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10)
-    rows = docs.where(learnable).select("doc_id", "text", (position.cast("double") / float(1 << 32)).alias("_position"))
-    labelled = rows.join(own, "doc_id").select("text", "toxic")
-    counts = labelled.mapInArrow(_class_counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    lex = learn_lexicons(counts.toArrow())
+    fold_of = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    rows = docs.where(learnable).select("doc_id", "text", (position.cast("double") / float(1 << 32)).alias("_position"), fold_of.alias("_fold"))
+    labelled = rows.join(own, "doc_id").select("text", "toxic", "_fold")
+    found = labelled.mapInArrow(_class_counts, ", ".join(f"{c} long" for c in ["feature", *COUNTS]))
+    counts = found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    # told apart are only features of five rows or more
+    counts = counts.where((F.col("feature") < 0) | (sum(F.col(c) for c in COUNTS) >= 5)).toArrow()
+    lex = learn_lexicons(counts)
     share = min(1.0, sample / max(1, rows.count()))
-    told = rows.join(own, "doc_id", "left").select("text", "toxic", "_position")
     shared = spark.sparkContext.broadcast(lex)
-    voted = ws.put(told.mapInArrow(_voting(shared, share), "pattern long, toxic int, position double, features binary"), "votes")
-    patterns = voted.groupBy("pattern", F.coalesce("toxic", F.lit(-1)).alias("toxic")).count().orderBy("pattern", "toxic").collect()
-    code = np.array([r["pattern"] for r in patterns], np.int64)
-    vote = (code[:, None] // 3 ** np.arange(len(VOTERS))) % 3 - 1
-    model = fit_label_model(vote, np.array([r["count"] for r in patterns], float), np.array([r["toxic"] for r in patterns], np.int64))
-    drawn = voted.where("features IS NOT NULL").select("pattern", "features", "position", "toxic").orderBy("position", "features").limit(2 * sample).toArrow()
-    code = drawn.column("pattern").to_numpy()
-    target = model.posterior((code[:, None] // 3 ** np.arange(len(VOTERS))) % 3 - 1)
+    voted = ws.put(rows.select("text", "_position", "_fold").mapInArrow(_voting(shared, share), "pattern long, position double, features binary"), "votes")
+    patterns = voted.groupBy("pattern").count().orderBy("pattern").collect()
+    model = fit_label_model(unpacked(np.array([r["pattern"] for r in patterns], np.int64)), np.array([r["count"] for r in patterns], float), _prior(counts))
+    drawn = voted.where("features IS NOT NULL").select("pattern", "features", "position").orderBy("position", "features").limit(2 * sample).toArrow()
+    target = model.posterior(unpacked(drawn.column("pattern").to_numpy()))
     vectors = [np.frombuffer(x, "<i4").astype(np.int64) for x in drawn.column("features").to_pylist()]
     w, b = fit_linear(vectors, target, int(lex.index.max()) + 1)
-    label = np.array([-1 if x is None else x for x in drawn.column("toxic").to_pylist()], np.int64)
-    raw = np.array([b + w[v].sum() for v in vectors])
-    slope, shift = calibrate(raw[label >= 0], label[label >= 0])
-    w, b = slope * w, slope * b + shift
     scorer = spark.sparkContext.broadcast((lex.index, w, b))
     return docs.select("doc_id", "text").mapInArrow(_scoring(scorer), "doc_id long, score double, predicted int")
 
