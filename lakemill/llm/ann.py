@@ -4,13 +4,14 @@ The tree is fitted on a bounded sample of unit vectors (seeded, by hash) and
 goes to every executor: at most `most_leaves` leaves, whatever the corpus. Every
 vector is put in the leaf it descends to. A query walks the tree with a
 priority queue of nodes, nearest centre first, and visits leaves until as many
-are open as calibration asked for: on a sample of queries, held against all
-rows in blocks, the number of visits is widened until the recall asked for is
-met, up to all leaves.
+are open as calibration asked for: a sample of queries is held against all rows
+in blocks, and the visits are as many as its true neighbours' leaves need, in
+the order of each query's walk, for the recall asked for, up to all leaves.
 
 Equal vectors are one entry that carries its smallest k + 1 ids, which is all
 that any query can return of them. Leaves are cut into blocks of bounded size,
-so a leaf that holds a third of all vectors is many tasks' work.
+so a leaf that holds a third of all vectors is many tasks' work, and the queries
+that visit a leaf into chunks of bounded size.
 
 Cases: vectors that are null, of another length than most, zero, or hold null
 or non-finite components take no part; fewer candidates than k give all; ties
@@ -23,6 +24,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,8 @@ from .store import Workspace, power_of_two
 #: Vectors that the tree is fitted on, queries that calibrate the search, and branches of a node.
 SAMPLE, CALIBRATION, BRANCHES = 20_000, 200, 8
 MOST_LEAVES = 4096
-#: Vectors of a leaf on average, and of a block at most about.
-LEAF_ROWS, BLOCK_ROWS = 150, 2000
+#: Vectors of a leaf on average, and of a block and queries of a chunk at most about.
+LEAF_ROWS, BLOCK_ROWS, CHUNK_ROWS = 150, 2000, 4000
 RECALL = 0.97
 
 
@@ -158,11 +160,9 @@ def _walking(tree, visits: int):
                 continue
             unit = _unit(_matrix(batch.column("vec").to_pylist()))
             found = [tree.value.best_bins(u, visits) for u in unit]
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            leaf = np.array([x for f in found for x in f], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(leaf)], ["query_id", "vec", "leaf"]
-            )
+            ends = np.cumsum([0, *(len(f) for f in found)])
+            leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for f in found for x in f], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec"), leaves], ["query_id", "vec", "leaves"])
 
     return run
 
@@ -241,19 +241,24 @@ class Index:
         self.tree = fit_tree(_unit(_matrix(sample)) if sample else np.empty((0, 1)), leaves)
         self.shared = spark.sparkContext.broadcast(self.tree)
         placed = self.ws.put(entries.select("ids", "vec").mapInArrow(_placing(self.shared), "ids array<long>, vec binary, leaf long"), "placed")
-        self.entries = entries
+        self.entries, self.placed = entries, placed
         blocks = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"))
         self.blocks = self.ws.put(blocks, "blocks")
-        # at most MOST_LEAVES rows
-        dealt = placed.join(F.broadcast(self.blocks), "leaf")
-        self.placed = dealt.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")))
 
     def search(self, queries: DataFrame, visits: int) -> DataFrame:
         """query_id, vec_id, score, rank of queries (query_id, vec)."""
-        walked = queries.mapInArrow(_walking(self.shared, visits), "query_id long, vec binary, leaf long")
-        asked = walked.join(F.broadcast(self.blocks.toDF("leaf", "parts")), "leaf")
-        asked = asked.select("query_id", "vec", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
-        both = asked.groupBy("leaf", "block").cogroup(self.placed.select("ids", "vec", "leaf", "block").groupBy("leaf", "block"))
+        walked = queries.mapInArrow(_walking(self.shared, visits), "query_id long, vec binary, leaves array<long>")
+        walked = self.ws.put(walked, "walked")
+        visited = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
+        # a row for each leaf that is visited: at most MOST_LEAVES
+        dealt = visited.select("leaf", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")).join(self.blocks, "leaf")
+        dealt = F.broadcast(self.ws.put(dealt, "dealt"))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        asked = walked.select("query_id", "vec", F.explode("leaves").alias("leaf")).join(dealt, "leaf")
+        asked = asked.select("query_id", "vec", "leaf", F.pmod(F.xxhash64("query_id"), F.col("chunks")).alias("chunk"), each("blocks").alias("block"))
+        placed = self.placed.join(dealt, "leaf")
+        placed = placed.select("ids", "vec", "leaf", each("chunks").alias("chunk"), F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).alias("block"))
+        both = asked.groupBy("leaf", "block", "chunk").cogroup(placed.groupBy("leaf", "block", "chunk"))
         return _best(both.applyInPandas(_scoring(self.k), FOUND), self.k)
 
     def exact(self, queries: list[tuple[int, bytes]]) -> DataFrame:
@@ -266,17 +271,23 @@ class Index:
         return hits / max(1, truth.agg(F.sum("n")).first()[0] or 0)
 
     def calibrate(self, queries: DataFrame, recall: float = RECALL) -> int:
-        """Leaf visits that reach the recall on a sample of the queries, widened step by step."""
-        sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION)
-        listed = [(r["query_id"], bytes(r["vec"])) for r in sample.collect()]
-        if not listed:
+        """Leaf visits that reach the recall on a sample of the queries, by the leaves that their true neighbours are in."""
+        sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).collect()
+        if not sample:
             return 1
-        truth = self.ws.put(self.exact(listed).select(*["query_id", "vec_id", "score"]), "truth")
-        sample = self.ws.put(sample, "asked")
-        visits = max(1, min(self.tree.leaves, 8))
-        while visits < self.tree.leaves and self.recall(self.search(sample, visits), truth) < recall:
-            visits = min(self.tree.leaves, max(visits + 1, visits * 3 // 2))
-        return visits
+        truth = self.ws.put(self.exact([(r["query_id"], bytes(r["vec"])) for r in sample]).select("query_id", "vec_id"), "truth")
+        # at most k rows a calibration query
+        near = self.rows.join(F.broadcast(truth), "vec_id").select("query_id", "vec_id", "vec").collect()
+        if not near:
+            return 1
+        leaf = self.tree.place(_unit(_matrix([r["vec"] for r in near])))
+        order = {r["query_id"]: np.argsort(self.tree.best_bins(u, self.tree.leaves)) for r, u in zip(sample, _unit(_matrix([r["vec"] for r in sample])), strict=True)}
+        needed: dict[tuple[int, int], int] = {}
+        for r, at in zip(near, leaf, strict=True):
+            key, visits = (r["query_id"], r["vec_id"]), int(order[r["query_id"]][at]) + 1
+            needed[key] = min(visits, needed.get(key, visits))
+        widening = sorted(needed.values())
+        return widening[max(0, ceil(recall * len(widening)) - 1)]
 
 
 def nearest_neighbours(spark: SparkSession, vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float = RECALL) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lakemill.llm import ann
 from lakemill.llm.ann import Index, fit_tree, nearest_neighbours
 
 
@@ -61,3 +62,12 @@ def test_calibration_widens(spark, data):
     visits = index.calibrate(queries, 1.0)
     listed = [(r["query_id"], bytes(r["vec"])) for r in queries.collect()]
     assert index.recall(index.search(queries, visits), index.exact(listed)) >= 0.99
+
+
+def test_chunks_and_blocks_change_nothing(spark, data, monkeypatch):
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    ask = lambda: sorted(map(tuple, nearest_neighbours(spark, table, F.col("vec_id") % 10 == 0, recall=1.0).collect()))
+    whole = ask()
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    assert ask() == whole
