@@ -41,6 +41,8 @@ MOST_LEAVES = 4096
 #: Vectors of a leaf on average, and of a block and queries of a chunk at most about.
 LEAF_ROWS, BLOCK_ROWS, CHUNK_ROWS = 150, 2000, 4000
 RECALL = 0.97
+#: Leaves that a query visits in the first round, and how much wider each next one is.
+FIRST_VISITS, WIDER = 8, 8
 
 
 @dataclass
@@ -170,21 +172,24 @@ def _walking(tree, visits: int):
 FOUND = "query_id long, vec_id long, score double"
 
 
-def nearest(queries: list[tuple[int, bytes]], ids: list, vecs: list[bytes], k: int) -> list[tuple[int, int, float]]:
-    """The k nearest of each query among entries of equal vectors with their smallest ids."""
+def nearest(queries: list[tuple[int, bytes]], ids: list, vecs: list[bytes], k: int, least: list[float] | None = None) -> list[tuple[int, int, float]]:
+    """The k nearest of each query among entries of equal vectors with their smallest ids; none below the query's least score."""
     if not queries or not len(ids):
         return []
     q, x = _matrix([v for _, v in queries]), _matrix(vecs)
     scores = (q @ x.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :])
     out = []
-    for (query, vec), row in zip(queries, scores, strict=True):
+    for (query, vec), row, bound in zip(queries, scores, least or [-2.0] * len(queries), strict=True):
+        if row.max() < bound - 1e-12:
+            continue
         # entries as good as the k-th and all their ids; a margin keeps ties that rounding parts
         low = np.partition(row, len(row) - min(len(row), k + 1))[len(row) - min(len(row), k + 1)] - 1e-12
+        low = max(low, bound - 1e-12)
         at = np.flatnonzero(row >= low)
         a = np.frombuffer(vec, "<f8")
         exact = [cosine(a, np.frombuffer(vecs[j], "<f8")) for j in at]
         near = sorted((-s, int(i)) for j, s in zip(at, exact, strict=True) for i in ids[j] if i != query)
-        out += [(query, i, -s) for s, i in near[:k]]
+        out += [(query, i, -s) for s, i in near[:k] if -s >= bound]
     return out
 
 
@@ -197,7 +202,7 @@ def _scoring(k: int):
         asked = list(zip(queries["query_id"].tolist(), queries["vec"].tolist(), strict=True))
         found = []
         for at in range(0, len(asked), 256):
-            found += nearest(asked[at : at + 256], rows["ids"].tolist(), rows["vec"].tolist(), k)
+            found += nearest(asked[at : at + 256], rows["ids"].tolist(), rows["vec"].tolist(), k, queries["low"].tolist()[at : at + 256])
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
@@ -246,20 +251,35 @@ class Index:
         self.blocks = self.ws.put(blocks, "blocks")
 
     def search(self, queries: DataFrame, visits: int) -> DataFrame:
-        """query_id, vec_id, score, rank of queries (query_id, vec)."""
+        """query_id, vec_id, score, rank of queries (query_id, vec).
+
+        Visits widen in rounds; after the first, only what is as near as the k-th found so far leaves a leaf."""
         walked = queries.mapInArrow(_walking(self.shared, visits), "query_id long, vec binary, leaves array<long>")
         walked = self.ws.put(walked, "walked")
-        visited = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
+        best = self.spark.createDataFrame([], FOUND)
+        done, width = 0, FIRST_VISITS
+        while done < visits:
+            known = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+            known = known.select("query_id", F.when(F.col("n") >= self.k, F.col("low")).otherwise(F.lit(-2.0)).alias("low"))
+            asked = walked.select("query_id", "vec", F.explode(F.slice("leaves", done + 1, width)).alias("leaf"))
+            asked = asked.join(known, "query_id", "left").fillna(-2.0, ["low"]) if done else asked.withColumn("low", F.lit(-2.0))
+            found = self._visit(asked, walked.select(F.explode(F.slice("leaves", done + 1, width)).alias("leaf")))
+            best = self.ws.put(_best(best.unionByName(found), self.k).drop("rank"), "best")
+            done, width = done + width, width * WIDER
+        return _best(best, self.k)
+
+    def _visit(self, asked: DataFrame, leaves: DataFrame) -> DataFrame:
+        """What queries (query_id, vec, low) find in the leaves that they ask for."""
+        visited = leaves.groupBy("leaf").count()
         # a row for each leaf that is visited: at most MOST_LEAVES
         dealt = visited.select("leaf", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")).join(self.blocks, "leaf")
         dealt = F.broadcast(self.ws.put(dealt, "dealt"))
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        asked = walked.select("query_id", "vec", F.explode("leaves").alias("leaf")).join(dealt, "leaf")
-        asked = asked.select("query_id", "vec", "leaf", F.pmod(F.xxhash64("query_id"), F.col("chunks")).alias("chunk"), each("blocks").alias("block"))
-        placed = self.placed.join(dealt, "leaf")
-        placed = placed.select("ids", "vec", "leaf", each("chunks").alias("chunk"), F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).alias("block"))
+        chunk, block = F.pmod(F.xxhash64("query_id"), F.col("chunks")), F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks"))
+        asked = asked.join(dealt, "leaf").select("query_id", "vec", "low", "leaf", chunk.alias("chunk"), each("blocks").alias("block"))
+        placed = self.placed.join(dealt, "leaf").select("ids", "vec", "leaf", each("chunks").alias("chunk"), block.alias("block"))
         both = asked.groupBy("leaf", "block", "chunk").cogroup(placed.groupBy("leaf", "block", "chunk"))
-        return _best(both.applyInPandas(_scoring(self.k), FOUND), self.k)
+        return both.applyInPandas(_scoring(self.k), FOUND)
 
     def exact(self, queries: list[tuple[int, bytes]]) -> DataFrame:
         """A bounded list of queries against all rows, in blocks."""
