@@ -165,8 +165,7 @@ def _families(ws: Workspace, classes: DataFrame) -> DataFrame:
     """(doc, family) of the classes that share a key with another, directly or through others."""
     keyed = classes.select("doc", "signature").mapInArrow(_keys, "key long, doc long")
     shared = ws.put(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("doc").alias("least")).where("many > 1"), "shared")
-    total = shared.agg(F.sum("many")).first()[0] or 0
-    edges = join_hot(keyed, shared, ["key"], "many", total).where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
+    edges = join_hot(keyed, shared, ["key"], "many").where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
     found = ws.put(connected_components(ws, edges).toDF("doc", "family"), "families")
     ws.drop(shared)
     return found
@@ -186,28 +185,27 @@ def _links(ws: Workspace, docs: DataFrame, classes: DataFrame, families: DataFra
     if count.where("usual").count() + members.count() <= BROADCAST_SHINGLES:
         based = texts.join(F.broadcast(bases.drop("many")), "family")
     else:
-        based = join_hot(texts, ws.put(bases, "based"), ["family"], "many", texts.count())
+        based = join_hot(texts, ws.put(bases, "based"), ["family"], "many")
     based = based.select("family", "doc", "text", "base").mapInArrow(_differences(size), "family long, doc long, n long, diff array<long>")
     low, high = 100 - percent, 100 + percent
     v = F.lit(high) * F.size("diff") - F.lit(low) * F.col("n")
     diffs = ws.put(based.withColumn("d", F.size("diff").cast("long")).withColumn("v", v), "diffs")
     ws.drop(texts)
 
-    total = diffs.count()
     least = ws.put(diffs.groupBy("family").agg(F.min("v").alias("v0"), F.count("*").alias("many")), "least")
     core = F.col("v") + F.col("v0") <= 0
-    whole = join_hot(diffs.select("family", "doc", "v"), least, ["family"], "many", total)
+    whole = join_hot(diffs.select("family", "doc", "v"), least, ["family"], "many")
     beyond = whole.groupBy("family").agg(F.first("v0").alias("v0"), F.min(F.when(~core, F.col("v"))).alias("w"), F.min(F.when(core, F.col("doc"))).alias("label"), F.count("*").alias("many"))
     beyond = ws.put(beyond, "beyond")
-    whole = join_hot(diffs.select("family", "doc", "v"), beyond, ["family"], "many", total)
+    whole = join_hot(diffs.select("family", "doc", "v"), beyond, ["family"], "many")
     cored = ws.put(whole.where(core).select("doc", "label"), "core")
 
     # documents of families with any beyond the core, their differences placed rarest first
-    open_ = ws.put(join_hot(diffs, beyond.where("w IS NOT NULL"), ["family"], "many", total).withColumn("core", core), "open")
+    open_ = ws.put(join_hot(diffs, beyond.where("w IS NOT NULL"), ["family"], "many").withColumn("core", core), "open")
     rare = F.when(F.col("usual"), F.col("many") - F.col("c")).otherwise(F.col("c"))
     rarity = ws.put(count.select("family", "h", rare.alias("f")).where("f > 1").withColumn("many", F.col("f")), "rarity")
     single = open_.select("family", "doc", "n", "d", "v", "v0", "w", "core", F.explode("diff").alias("h"))
-    single = join_hot(single, rarity, ["family", "h"], "many", open_.agg(F.sum("d")).first()[0] or 0)
+    single = join_hot(single, rarity, ["family", "h"], "many")
     # those of no other member come first and meet nobody
     last = W.partitionBy("doc").orderBy(F.desc("f"), F.desc("h"))
     placed = single.withColumn("i", F.col("d") - F.row_number().over(last))
@@ -256,10 +254,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, size: int = 4, perc
     named = known.select("s1", "s2", "doc", "doc_id").join(names, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     named = ws.put(named.join(found, "label", "left").select("s1", "s2", "doc_id", F.coalesce("comp", "label").alias("comp")), "named")
     least = ws.put(named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many")), "least")
-    sets = join_hot(named, least, ["comp"], "many", known.count()).select("s1", "s2", "component_id")
+    sets = join_hot(named, least, ["comp"], "many").select("s1", "s2", "component_id")
     sets = ws.put(classes.select("s1", "s2", "many").join(sets, ["s1", "s2"], "left"), "sets")
     rows = signed.select("doc_id", "n", "s1", "s2")
-    out = join_hot(rows.where("n > 0"), sets, ["s1", "s2"], "many", signed.count()).unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
+    out = join_hot(rows.where("n > 0"), sets, ["s1", "s2"], "many").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 

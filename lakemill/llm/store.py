@@ -60,13 +60,21 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], many: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], many: str) -> DataFrame:
     """Inner join of rows with a table that has one row a key and the number of rows of each key (column `many`).
 
-    Keys of more than a thousandth of `total` rows are at most a thousand: they
-    are broadcast, so that their rows stay where they are. The others are joined
-    as Spark sees fit. Both tables are read twice and should be written ones.
+    Keys of more than a thousandth of all rows are at most a thousand: they are
+    broadcast, so that their rows stay where they are. The others are joined as
+    Spark sees fit. A side without keys is left out of the plan, as every
+    broadcast costs the driver memory. Both tables may be read twice and should
+    be written ones.
     """
+    total, least, most = keyed.agg(F.sum(many), F.min(many), F.max(many)).first()
+    values = keyed.drop(many)
+    if not total or most * HOT <= total:
+        return rows.join(values, on)
+    if least * HOT > total:
+        return rows.join(F.broadcast(values), on)
     hot = F.col(many) * HOT > total
     known = F.broadcast(keyed.where(hot).drop(many))
     cold = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot).drop(many), on)
