@@ -11,6 +11,7 @@ from pyspark.sql.types import DecimalType
 
 from .errors import BindingError, ExecutionError
 from .plans.dialect import Statement, check_tree, divisions, guard_scalars, keep_sums, rewrite, tokenise
+from .plans.pairs import deal_pairs
 from .plans.types import check_types
 from .session import SEMANTICS
 from .sources import READERS
@@ -57,8 +58,14 @@ class Engine:
         except Exception as error:
             raise BindingError(str(getattr(error, "desc", None) or error).splitlines()[0]) from None
 
-    def sql(self, text: str, strict: bool = True) -> DataFrame:
-        """The statement's result, lazily. Without strict, all of Spark SQL over table functions is read."""
+    def sql(self, text: str, strict: bool = True, repeated_keys: bool = False) -> DataFrame:
+        """The statement's result, lazily. Without strict, all of Spark SQL over table functions is read.
+
+        With repeated_keys, a join whose keys repeat on both sides is measured and planned for that (`plans/pairs.py`)."""
+        frame = self._planned(text, strict)
+        return deal_pairs(self.spark, frame) if repeated_keys else frame
+
+    def _planned(self, text: str, strict: bool) -> DataFrame:
         statement = rewrite(text, strict)
         if strict:
             check_tree(self.spark, re.sub(r"\{(source_\d+)\}", r"\1", statement.sql))
