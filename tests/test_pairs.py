@@ -72,3 +72,17 @@ def test_same_rows_as_sql(spark, tmp_path, small, text, rows):
     told = lambda found: sorted(tuple(map(repr, (0.0 if v == 0 else v for v in row))) for row in found)
     assert got.schema.simpleString() == plain.schema.simpleString()
     assert told(got.collect()) == told(theirs) == told(plain.collect())
+
+
+def _shares(frame):
+    """Rows of a result and those of the task that makes most."""
+    found = [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    return sum(found), max(found)
+
+
+def test_pairs_of_few_keys_are_dealt_out(spark, tmp_path, small):
+    spark.sql("SELECT id AS p_partkey, CAST(IF(id % 3 = 0, NULL, 25 + id % 3) AS INT) AS p_size FROM range(900)").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue()["join_null_keys"].run(spark, str(tmp_path))
+    total, most = _shares(got)
+    assert total == 2 * 300**2 and most < total / 10
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(900) for b in range(900) if a % 3 == b % 3 > 0]
