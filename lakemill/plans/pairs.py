@@ -17,7 +17,8 @@ in tasks of bounded size, whose number grows. Two or three small jobs measure
 ranges and rows by key when the statement is planned.
 
 Cases: null keys meet nothing; a plan with more than one join, another join
-than an inner one or one without equalities, or with few pairs: left as it is.
+than an inner one or one without equalities, or with few pairs and nothing
+compared: left as it is.
 """
 
 from __future__ import annotations
@@ -141,10 +142,10 @@ class _Pairs:
             own = [_column(self.spark, a) for a in _children(self.plans[k].output())]
             self.sides[k] = side.groupBy(*own).agg(F.count(F.lit(1)).alias(self.name(f"copies{k}")))
 
-    def narrow(self) -> None:
-        """Only rows that the range of what they are compared with can meet."""
+    def narrow(self) -> bool:
+        """Only rows that the range of what they are compared with can meet; whether there is such a range."""
         if not self.compared:
-            return
+            return False
         ends = []
         for k, side in enumerate(self.sides):
             met = [x[k] for x in self.keys]
@@ -158,6 +159,7 @@ class _Pairs:
             first, second = (low[1], high[0]) if kind.startswith("Greater") else (high[1], low[0])
             self.sides[0] = self.sides[0].where(test[kind](left, F.lit(first)))
             self.sides[1] = self.sides[1].where(test[_TURNED[kind]](right, F.lit(second)))
+        return True
 
     def deal(self) -> int:
         """Sides with a row for each cell that theirs belongs to, in column cell0 or cell1; the number of tasks, 0 for few pairs."""
@@ -231,10 +233,10 @@ def deal_pairs(spark: SparkSession, frame: DataFrame) -> DataFrame:
             inner = e.child() if _kind(e) == "Alias" else e
             listed.append((F.col(pairs.name(f"out{i}")) if _kind(inner) == "AggregateExpression" else _column(spark, inner)).alias(e.name()))
         return out.select(*listed)
-    pairs.narrow()
-    if not pairs.deal():
+    narrowed, dealt = pairs.narrow(), bool(pairs.deal())
+    if not narrowed and not dealt:
         return frame
-    made = pairs.joined(True).select(*(_column(spark, a) for a in _children(plan.output())))
+    made = pairs.joined(dealt).select(*(_column(spark, a) for a in _children(plan.output())))
     new = made._jdf.queryExecution().analyzed()
     for node in reversed(above):
         new = node.withNewChildren(spark._jvm.PythonUtils.toSeq([new]))

@@ -86,3 +86,15 @@ def test_pairs_of_few_keys_are_dealt_out(spark, tmp_path, small):
     total, most = _shares(got)
     assert total == 2 * 300**2 and most < total / 10
     assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(900) for b in range(900) if a % 3 == b % 3 > 0]
+
+
+def test_compared_pairs_are_narrowed_and_dealt_out(spark, tmp_path, small):
+    spark.sql("SELECT id AS s_suppkey, CAST(id % 2 AS INT) AS s_nationkey, DOUBLE(id * 25) AS s_acctbal FROM range(400)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT id AS c_custkey, CAST(id % 2 AS INT) AS c_nationkey, DOUBLE(id * 5) - 999 AS c_acctbal FROM range(2000)").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalogue()["join_post_filter"].run(spark, str(tmp_path))
+    want = [(s, c) for s in range(400) for c in range(2000) if s % 2 == c % 2 and s * 25 > c * 5 - 999 + 9000]
+    total, most = _shares(got)
+    assert total == len(want) and most < total / 4
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(s_acctbal,8001.0)" in plan and "c_acctbal" in plan.split("< 9975.0")[0]
